@@ -9,6 +9,8 @@ plain filter, so the texts themselves are never shuffled.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,30 +82,44 @@ def split_quotas(counts: dict[int, int], fractions: SplitFractions) -> dict[int,
 def _label_pieces(df: DataFrame, order: Column, label: str, sizes) -> Column:
     """A Column with the piece number of each row, for `sizes(counts) -> {label: [n0, n1, ...]}`.
 
-    Labels are few (0 and 1 in a finalized corpus), so their cut-offs fit into the plan
-    as literals.
+    Labels are few (0 and 1 in a finalized corpus): the driver sees one histogram of at
+    most 16**BUCKET_DIGITS buckets per label, and the cut-offs go into the plan as literals.
     """
-    spark = df.sparkSession
     keyed = _bucketed(df, [label], order, BUCKET_DIGITS)
-    hist = _histogram(keyed, [label])
-    counts = {r[label]: r["n"] for r in hist.groupBy(label).agg(F.sum("_n").alias("n")).collect()}
+    hist = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n")).collect()
+    counts: dict = {}
+    for row in hist:
+        counts[row[label]] = counts.get(row[label], 0) + row["_n"]
     pieces = sizes(counts)
     ends = {name: [sum(parts[: i + 1]) for i in range(len(parts) - 1)] for name, parts in pieces.items()}
-    wanted = [(name, int(end)) for name, row in ends.items() for end in set(row) if 0 < end < counts[name]]
+
+    # (label, end) -> the bucket that end falls into and its place in there.
+    edges: dict = {}
+    seen = dict.fromkeys(counts, 0)
+    for row in sorted(hist, key=lambda r: r["_bucket"]):
+        name, before = row[label], seen[row[label]]
+        seen[name] = before + row["_n"]
+        for end in ends[name]:
+            if before < end <= seen[name]:
+                edges[name, end] = (row["_bucket"], end - before)
     found = {}
-    if wanted:
-        schema = f"`{label}` {hist.schema[label].dataType.simpleString()}, position long"
-        table = cutoffs(keyed, hist, [label], F.broadcast(spark.createDataFrame(wanted, schema)))
-        found = {(r[label], r["position"]): r["cutoff"] for r in table.collect()}
+    if edges:
+        in_edge = [(F.col(label) == name) & (F.col("_bucket") == bucket) for name, bucket in {(n, b) for (n, _), (b, _) in edges.items()}]
+        rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_h"))
+        at_edge = [
+            (F.col(label) == name) & (F.col("_bucket") == bucket) & (F.col("_rank") == place)
+            for (name, _), (bucket, place) in edges.items()
+        ]
+        rows = keyed.filter(reduce(or_, in_edge)).withColumn("_rank", rank).filter(reduce(or_, at_edge)).collect()
+        hashes = {(r[label], r["_bucket"], r["_rank"]): r["_h"] for r in rows}
+        found = {(name, end): hashes[name, bucket, place] for (name, end), (bucket, place) in edges.items()}
 
     piece = F.lit(None).cast("int")
     for name, row in ends.items():
         chosen = F.lit(len(row))
         for number in range(len(row) - 1, -1, -1):
-            if row[number] >= counts[name]:
-                chosen = F.lit(number)
-            elif row[number] > 0:
-                chosen = F.when(order <= found[(name, row[number])], number).otherwise(chosen)
+            if row[number] > 0:
+                chosen = F.when(order <= found[name, row[number]], number).otherwise(chosen)
         piece = F.when(F.col(label) == name, chosen).otherwise(piece)
     return piece
 

@@ -109,9 +109,10 @@ def heldout(spark, folder):
 )
 def dataset_summary(spark, folder):
     summary = ops.dataset_summary(split_mail(spark, folder))
-    pairs = F.transform(F.map_entries("source_counts"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+    entries = F.array_sort(F.map_entries("source_counts"))
+    pairs = F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
     return summary.withColumns(
-        {"average_length": F.round("average_length", 6), "source_counts": F.array_join(F.array_sort(pairs), ",")}
+        {"average_length": F.round("average_length", 6), "source_counts": F.array_join(pairs, ",")}
     )
 
 

@@ -86,7 +86,7 @@ def error_examples(spark, folder):
     return ops.error_examples(scored_mail(spark, folder), ["doc_id"]).select("doc_id", "label", "prediction", "text")
 
 
-_DIAGNOSTICS = f"""{sql.SCORED}, {CELLS}, d AS (SELECT count(*) AS total, count(*) FILTER (label = prediction) AS correct,
+_DIAGNOSTICS = f"""{sql.SCORED_UNROUNDED}, {CELLS}, d AS (SELECT count(*) AS total, count(*) FILTER (label = prediction) AS correct,
     count(*) FILTER (label = 1 AND prediction = 1) AS spam_correct, count(*) FILTER (label = 1) AS spam_total,
     count(*) FILTER (label = 0 AND prediction = 0) AS ham_correct, count(*) FILTER (label = 0) AS ham_total,
     avg(confidence) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
@@ -104,7 +104,7 @@ _REAL = ("avg_confidence", "min_confidence", "max_confidence", "avg_spam_probabi
     "round(ham_correct::DOUBLE / ham_total, 6) AS ham_accuracy FROM d",
 )
 def scoring_diagnostics(spark, folder):
-    rows = ops.scoring_diagnostics(scored_mail(spark, folder))
+    rows = ops.scoring_diagnostics(scored_mail(spark, folder, None))
     return rows.select(*_WHOLE, *six(*_REAL, "accuracy", "spam_accuracy", "ham_accuracy"))
 
 
@@ -115,16 +115,16 @@ def scoring_diagnostics(spark, folder):
           CASE WHEN predicted_spam > 0.7 * total THEN 'spam' WHEN predicted_spam < 0.3 * total THEN 'ham' ELSE 'none' END AS bias FROM d""",
 )
 def health_verdict(spark, folder):
-    return ops.health_verdict(ops.scoring_diagnostics(scored_mail(spark, folder)))
+    return ops.health_verdict(ops.scoring_diagnostics(scored_mail(spark, folder, None)))
 
 
-_HAM = f"{sql.SCORED}, ham AS (SELECT * FROM scored WHERE label = 0)"
+_HAM = f"{sql.SCORED_UNROUNDED}, ham AS (SELECT * FROM scored WHERE label = 0)"
 _RATES = """count(*) AS samples, (count(*) FILTER (prediction = 0)) AS predicted_ham, (count(*) FILTER (prediction = 1)) AS predicted_spam,
   round(avg(prediction), 6) AS false_positive_rate, round(avg(p), 6) AS avg_spam_probability"""
 
 
-def _ham(spark, folder, digits=6):
-    return scored_mail(spark, folder, digits).filter("label = 0")
+def _ham(spark, folder):
+    return scored_mail(spark, folder, digits=None).filter("label = 0")
 
 
 @query("ham_source_fpr", f"WITH {_HAM} SELECT source, {_RATES} FROM ham GROUP BY source")
@@ -146,19 +146,19 @@ def ham_fpr_rollup(spark, folder):
         FROM scored WHERE label = 0 AND prediction = 1 QUALIFY rank <= 5""",
 )
 def top_false_positives(spark, folder):
-    return bench.top_false_positives(_ham(spark, folder, None), ["doc_id"])
+    return bench.top_false_positives(_ham(spark, folder), ["doc_id"])
 
 
 # The benchmark's sources, measured on every labelled row.
 _SWEEP = f"""{sql.SCORED}, limits(threshold) AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95]::DOUBLE[])),
-at AS (SELECT threshold,
+cut AS (SELECT threshold,
     (count(*) FILTER (label = 1 AND p >= threshold))::DOUBLE AS tp, (count(*) FILTER (label = 0 AND p >= threshold))::DOUBLE AS fp,
     (count(*) FILTER (label = 1 AND p < threshold))::DOUBLE AS fn, (count(*) FILTER (label = 0 AND p < threshold))::DOUBLE AS tn,
     (count(*) FILTER (label = 0 AND source IN ('src1', 'src2', 'src3')))::DOUBLE AS ham,
     (count(*) FILTER (label = 0 AND source IN ('src1', 'src2', 'src3') AND p >= threshold))::DOUBLE AS hit
   FROM limits, scored GROUP BY threshold),
 sweep AS (SELECT threshold, {share('tp + tn', '(tp + fp + fn + tn)')} AS test_accuracy, {share('tp', '(tp + fp)')} AS test_precision,
-    {share('tp', '(tp + fn)')} AS test_recall, {share('2 * tp', '(2 * tp + fp + fn)')} AS test_f1, {share('hit', 'ham')} AS all_ham_fpr FROM at)"""
+    {share('tp', '(tp + fn)')} AS test_recall, {share('2 * tp', '(2 * tp + fp + fn)')} AS test_f1, {share('hit', 'ham')} AS all_ham_fpr FROM cut)"""
 
 _SWEEP_COLUMNS = ("test_accuracy", "test_precision", "test_recall", "test_f1", "all_ham_fpr")
 

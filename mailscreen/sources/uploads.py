@@ -56,7 +56,7 @@ def with_decoded(df: DataFrame, content: str = "content") -> DataFrame:
     staged = df.withColumns(
         {
             "_utf8": F.try_validate_utf8(data.cast("string")),
-            "_latin1": F.decode(data, F.lit("ISO-8859-1")),
+            "_latin1": F.decode(data, "ISO-8859-1"),
         }
     )
     latin1 = F.col("_latin1")
