@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailscreen.functions.text import DIGIT, URL, WORD, clean_text
+from mailscreen.session import computed
 
 # The statistics in their output order.
 STATISTICS = (
@@ -24,10 +25,12 @@ STATISTICS = (
 
 # What is counted in the raw text.
 KEYWORDS = ("free", "winner", "offer", "credit", "urgent", "money", "bonus", "click", "remove", "unsubscribe")
-CURRENCY = r"(?iu)[$€£]|usd|eur|vnd"
+CURRENCY = r"(?=[$€£UuEeVv])(?iu:[$€£]|usd|eur|vnd)"
 HTML_LIKE = r"</?[A-Za-z][^>]*>"
 
-KEYWORD_HIT = rf"(?iu)(?<![{WORD}])(?:{'|'.join(KEYWORDS)})(?![{WORD}])"
+# The first letter is looked at before anything else; most places end there.
+_INITIALS = "".join(sorted({letter for word in KEYWORDS for letter in (word[0], word[0].upper())}))
+KEYWORD_HIT = rf"(?=[{_INITIALS}])(?<![{WORD}])(?iu:{'|'.join(KEYWORDS)})(?![{WORD}])"
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -43,33 +46,30 @@ def _literal_hits(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
-def with_email_stats(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """`keep` columns plus the statistics of `text`, as doubles.
+def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """`keep` columns plus the statistics of `text` (all, or those named), as doubles.
 
     The first three describe the cleaned text, the other eight the text as given.
-    Cleaning happens once, in its own projection.
     """
-    staged = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_raw")).withColumn("_clean", clean_text("_raw"))
     raw, clean = F.col("_raw"), F.col("_clean")
-    staged = staged.select(
-        *keep,
-        "_raw",
-        F.length(clean).alias("_chars"),
-        _hits(clean, f"[{WORD}]+").alias("_words"),
-        _characters(clean, f"[^{WORD}]+").alias("_word_chars"),
-        F.greatest(F.length(raw), F.lit(1)).alias("_length"),
-    )
-    values = {
-        "char_count": F.col("_chars"),
-        "word_count": F.col("_words"),
-        "avg_word_length": F.when(F.col("_words") > 0, F.col("_word_chars") / F.col("_words")).otherwise(0.0),
-        "uppercase_ratio": _characters(raw, "[^A-Z]+") / F.col("_length"),
-        "digit_ratio": _characters(raw, f"[^{DIGIT}]+") / F.col("_length"),
-        "exclamation_count": _literal_hits(raw, "!"),
-        "question_count": _literal_hits(raw, "?"),
-        "url_count": _hits(raw, URL),
-        "currency_count": _hits(raw, CURRENCY),
-        "html_tag_count": _hits(raw, HTML_LIKE),
-        "suspicious_keyword_hits": _hits(raw, KEYWORD_HIT),
+    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+    on_clean = {
+        "char_count": lambda: F.length(clean),
+        "word_count": lambda: F.col("_words"),
+        "avg_word_length": lambda: F.when(F.col("_words") > 0, _characters(clean, f"[^{WORD}]+") / F.col("_words")).otherwise(0.0),
     }
-    return staged.select(*keep, *[values[name].cast("double").alias(name) for name in STATISTICS])
+    length = F.greatest(F.length(raw), F.lit(1))
+    on_raw = {
+        "uppercase_ratio": lambda: _characters(raw, "[^A-Z]+") / length,
+        "digit_ratio": lambda: _characters(raw, f"[^{DIGIT}]+") / length,
+        "exclamation_count": lambda: _literal_hits(raw, "!"),
+        "question_count": lambda: _literal_hits(raw, "?"),
+        "url_count": lambda: _hits(raw, URL),
+        "currency_count": lambda: _hits(raw, CURRENCY),
+        "html_tag_count": lambda: F.when(F.contains(raw, F.lit("<")), _hits(raw, HTML_LIKE)).otherwise(0),
+        "suspicious_keyword_hits": lambda: _hits(raw, KEYWORD_HIT),
+    }
+    if any(name in on_clean for name in only):
+        rows = computed(computed(rows, _clean=clean_text(raw)), _words=_hits(clean, f"[{WORD}]+"))
+    values = {**on_clean, **on_raw}
+    return computed(rows, **{name: values[name]().cast("double") for name in only}).select(*keep, *only)

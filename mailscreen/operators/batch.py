@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailscreen.functions.text import squeeze
+from mailscreen.session import computed
 
 MAX_TEXT_LENGTH = 20_000
 MAX_BATCH_ROWS = 5_000
@@ -23,7 +24,9 @@ class BatchRejected(ValueError):
 
 def check_texts(df: DataFrame, text: str = "text", max_length: int = MAX_TEXT_LENGTH) -> DataFrame:
     """Squeeze white space and add `status`: ok, blank or text_too_large."""
-    squeezed = df.withColumn(text, squeeze(F.coalesce(F.col(text), F.lit(""))))
+    others = [c for c in df.columns if c != text]
+    raw = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    squeezed = computed(raw, **{text: squeeze("_text")}).select(*[F.col(c) for c in df.columns])
     length = F.length(text)
     return squeezed.withColumn("status", F.when(length == 0, BLANK).when(length > max_length, TOO_LARGE).otherwise(OK))
 

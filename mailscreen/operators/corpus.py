@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailscreen.config import HAM, SPAM
 from mailscreen.functions.text import clean_text, dedupe_hash, strip
+from mailscreen.session import computed
 
 MAIL_SCHEMA = T.StructType(
     [
@@ -48,11 +49,13 @@ def finalize(
         (F.lit(source) if isinstance(source, str) else source).alias("source"),
         label_id.alias("label"),
         name.alias("label_name"),
-        clean_text(F.col(text).cast("string")).alias("text"),
+        F.col(text).cast("string").alias("_text"),
         *extra,
     )
-    return rows.filter(F.length("text") > 0).select(
-        *MAIL_COLUMNS[:-1], F.length("text").alias("text_length"), *extra
+    return (
+        computed(rows, text=clean_text("_text"))
+        .filter(F.length("text") > 0)
+        .select(*MAIL_COLUMNS[:-1], F.length("text").alias("text_length"), *extra)
     )
 
 

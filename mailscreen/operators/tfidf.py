@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailscreen.functions.text import WORD, clean_text
-from mailscreen.session import settle
+from mailscreen.session import computed, parallelism, settle, written
 
 
 def default_stop_words() -> list[str]:
@@ -37,19 +37,11 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, bigrams)
 
 
-def char_ngrams(clean: Column, shortest: int = 3, longest: int = 5) -> Column:
-    """Character n-grams inside words that are padded by one blank on each side.
-
-    Doubling the blanks gives every word its own padding; a window whose inner
-    characters are not blank lies within one padded word.
-    """
-    padded = F.concat(F.lit(" "), F.replace(clean, F.lit(" "), F.lit("  ")), F.lit(" "))
-    return F.concat(
-        *[
-            F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.[^ ]{{{n - 2}}}.))."), 1)
-            for n in range(shortest, longest + 1)
-        ]
-    )
+def char_ngrams(word: Column, shortest: int = 3, longest: int = 5) -> Column:
+    """All windows of 3, 4 and 5 characters of a word that is padded by one blank on each side."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    windows = [F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in range(shortest, longest + 1)]
+    return F.concat(*windows)
 
 
 @dataclass(frozen=True)
@@ -78,14 +70,18 @@ def term_counts(
     df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None, preprocess=clean_text
 ) -> DataFrame:
     """(id, term, tf).  `preprocess` is the text -> text Column function applied first."""
-    by_document = df.select(id_column, text).repartition(id_column).withColumn("_clean", preprocess(text))
+    by_document = df.select(id_column, text).repartition(parallelism(df.sparkSession), id_column)
+    by_document = computed(by_document, _clean=preprocess(text))
     if settings.analyzer == "word":
         words = default_stop_words() if stop_words is None else stop_words
         tokens = by_document.select(id_column, word_tokens(F.col("_clean"), words).alias("_tokens"))
-        terms = tokens.select(id_column, with_bigrams(F.col("_tokens")).alias("_terms"))
-    else:
-        terms = by_document.filter(F.col("_clean") != "").select(id_column, char_ngrams(F.col("_clean")).alias("_terms"))
-    return terms.select(id_column, F.explode("_terms").alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+        terms = tokens.select(id_column, F.explode(with_bigrams(F.col("_tokens"))).alias("term"))
+        return terms.groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+    # A word that comes up again in its document is cut into n-grams only once.
+    words = by_document.select(id_column, F.explode(F.split("_clean", " ")).alias("_word")).filter(F.col("_word") != "")
+    counted = words.groupBy(id_column, "_word").agg(F.count("*").alias("_n"))
+    terms = counted.select(id_column, "_n", F.explode(char_ngrams(F.col("_word"))).alias("term"))
+    return terms.groupBy(id_column, "term").agg(F.sum("_n").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -116,7 +112,7 @@ def fit_vocabulary(counts: DataFrame, documents: int, settings: TermSettings) ->
     terms = document_frequencies(counts).filter(
         (F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * documents)
     )
-    kept = most_frequent(settle(terms), settings.max_features)
+    kept = most_frequent(written(terms, "terms"), settings.max_features)
     idf = F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0
     return settle(kept.withColumn("idf", idf))
 

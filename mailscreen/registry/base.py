@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailscreen.functions.probability import confidence
 from mailscreen.functions.stats import with_email_stats
 from mailscreen.operators.corpus import finalize
+from mailscreen.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,8 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables with texts and the column that names a row; they are dealt out when small.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
 def labelled(spark: SparkSession, folder: str, how: str = "inner") -> DataFrame:
@@ -50,7 +56,8 @@ def rule_scores(df: DataFrame, text: str = "text", digits: int | None = 6) -> Da
     for queries that round it again.
     """
     keep = df.columns
-    stats = with_email_stats(df.withColumn("_text", F.col(text)), "_text", keep)
+    used = ("uppercase_ratio", "digit_ratio", "exclamation_count", "currency_count")
+    stats = with_email_stats(df.withColumn("_text", F.col(text)), "_text", keep, used)
     length = F.greatest(F.length(text), F.lit(1))
     z = (
         F.lit(-3.0)
@@ -60,7 +67,7 @@ def rule_scores(df: DataFrame, text: str = "text", digits: int | None = 6) -> Da
         + F.col("currency_count") * 40.0 / length
     )
     p = 1.0 / (1.0 + F.exp(-z))
-    return stats.withColumn("spam_probability", p if digits is None else F.round(p, digits)).select(*keep, "spam_probability")
+    return stats.select(*keep, (p if digits is None else F.round(p, digits)).alias("spam_probability"))
 
 
 def scored_mail(spark: SparkSession, folder: str, digits: int | None = 6) -> DataFrame:

@@ -72,6 +72,31 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` plus columns that are evaluated once per row.
+
+    Catalyst copies the expression of a plain projected column into every filter it
+    pushes below it, so an expensive one is run again for each mention.  A generator's
+    output is not taken apart, hence the one-element `inline`.
+    """
+    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for steps that blow up their input and must not be merged into fewer (AQE)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table that comes in fewer pieces than there are cores.
+
+    Large tables come in many pieces and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_summary(big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a large table with a summary of it.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailscreen.functions.text import LINE_BREAK, squeeze, strip
-from mailscreen.session import join_summary
+from mailscreen.session import computed, join_summary
 
 # Names of a text column and of a JSON list, in order of preference.
 TEXT_COLUMNS = ("text", "email", "message", "content", "body")
@@ -76,9 +76,9 @@ def text_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep, row_number, text): one row per non-blank line of a text column, lines numbered from 1."""
     lines = F.split(F.col(text), LINE_BREAK)
     return (
-        df.select(*keep, F.posexplode(lines).alias("_at", "_line"))
-        .select(*keep, (F.col("_at") + 1).cast("long").alias("row_number"), squeeze("_line").alias("text"))
+        computed(df.select(*keep, F.posexplode(lines).alias("_at", "_line")), text=squeeze("_line"))
         .filter(F.col("text") != "")
+        .select(*keep, (F.col("_at") + 1).cast("long").alias("row_number"), "text")
     )
 
 
@@ -104,9 +104,11 @@ def read_line_files(spark: SparkSession, path: str) -> DataFrame:
     lines = join_summary(numbered, offsets, block).select(
         "file", (F.col("_offset") + F.col("_before")).alias("_base"), F.posexplode("_lines").alias("_k", "_line")
     )
-    return lines.select(
-        "file", (F.col("_base") + F.col("_k") + 1).cast("long").alias("row_number"), squeeze("_line").alias("text")
-    ).filter(F.col("text") != "")
+    return (
+        computed(lines, text=squeeze("_line"))
+        .filter(F.col("text") != "")
+        .select("file", (F.col("_base") + F.col("_k") + 1).cast("long").alias("row_number"), "text")
+    )
 
 
 def normalized_name(name: str) -> str:
