@@ -195,5 +195,5 @@ def json_texts(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
 
 def read_json_batch(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_number, text); one JSON object per file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return json_texts(raw.select(F.col("_metadata.file_path").alias("file"), "value"), "value", ["file"])
