@@ -70,19 +70,24 @@ def statistic_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(STATS_PREFIX + name,) for name in STATISTICS], "feature string")
 
 
-def to_vectors(weights: DataFrame, id_column: str, index: DataFrame, size: int) -> DataFrame:
-    """(id, features) with `features` a sparse MLlib vector.
-
-    Spark has no expression that turns index and value arrays into a vector, but its
-    JSON reader accepts the vector type, which keeps the step inside the JVM.  `index`
-    is bounded by the vocabulary caps, hence broadcast.
+def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size: int) -> DataFrame:
+    """(id, features) with `features` a sparse MLlib vector, for every id of the first block.
+
+    Blocks are (id, feature, weight).  Each is gathered into one row per id and the rows
+    are joined; blocks that are partitioned by id already do not move.  Spark has no
+    expression that turns index and value arrays into a vector, but its JSON reader
+    accepts the vector type, which keeps the step inside the JVM.  `index` is bounded by
+    the vocabulary caps, hence broadcast.
     """
     entry = F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("w"))
-    rows = (
-        weights.join(F.broadcast(index), "feature")
-        .groupBy(id_column)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    )
+    names, rows = [], None
+    for number, block in enumerate(blocks):
+        name = f"_e{number}"
+        names.append(name)
+        gathered = block.join(F.broadcast(index), "feature").groupBy(id_column).agg(F.collect_list(entry).alias(name))
+        rows = gathered if rows is None else rows.join(gathered, id_column, "left")
+    nothing = F.array().cast("array<struct<i:int,w:double>>")
+    rows = rows.select(id_column, F.array_sort(F.concat(*[F.coalesce(n, nothing) for n in names])).alias("_e"))
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),

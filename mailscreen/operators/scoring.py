@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -91,25 +92,32 @@ def contributions(weights: DataFrame, coefficients: DataFrame, id_column: str) -
     )
 
 
-def top_signals(parts: DataFrame, predictions: DataFrame, id_column: str, n: int = 8) -> DataFrame:
+def top_signals(blocks: DataFrame | list[DataFrame], predictions: DataFrame, id_column: str, n: int = 8) -> DataFrame:
     """(id, rank, feature, contribution, direction): what speaks for the predicted class.
 
-    The `n` strongest contributions toward the prediction are taken first; those among
-    them that point the other way are then dropped.
+    The `n` strongest contributions toward the prediction, without any that point the
+    other way.  With several blocks of contributions, each is cut to its own first `n`
+    before they meet.
     """
+    blocks = blocks if isinstance(blocks, list) else [blocks]
     sign = F.when(F.col("prediction") == 1, 1.0).otherwise(-1.0)
-    toward = parts.join(predictions.select(id_column, "prediction"), id_column).withColumn("_toward", F.col("contribution") * sign)
     rank = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("_toward"), "feature"))
-    return (
-        toward.withColumn("rank", rank)
-        .filter((F.col("rank") <= n) & (F.col("_toward") > 0))
-        .select(
-            id_column,
-            "rank",
-            display_feature(F.col("feature")).alias("feature"),
-            F.bround(F.abs("contribution"), 6).alias("contribution"),
-            F.when(F.col("contribution") > 0, "spam").otherwise("ham").alias("direction"),
-        )
+    called = predictions.select(id_column, "prediction")
+
+    def strongest(parts: DataFrame) -> DataFrame:
+        return parts.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+    leaders = [
+        strongest(parts.join(called, id_column).withColumn("_toward", F.col("contribution") * sign).filter(F.col("_toward") > 0))
+        for parts in blocks
+    ]
+    merged = strongest(reduce(DataFrame.unionByName, leaders)) if len(leaders) > 1 else leaders[0]
+    return merged.select(
+        id_column,
+        "rank",
+        display_feature(F.col("feature")).alias("feature"),
+        F.bround(F.abs("contribution"), 6).alias("contribution"),
+        F.when(F.col("contribution") > 0, "spam").otherwise("ham").alias("direction"),
     )
 
 

@@ -110,7 +110,7 @@ def batch_from_csv(spark, folder):
 
 @query(
     "batch_from_json",
-    f"""SELECT doc_id, row_number, text FROM (SELECT doc_id, row_number, {sql.squeeze('line')} AS text FROM (
+    f"""SELECT doc_id, row_number, text, CASE WHEN length(text) > 20000 THEN 'text_too_large' ELSE 'ok' END AS status FROM (SELECT doc_id, row_number, {sql.squeeze('line')} AS text FROM (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS row_number
           FROM documents)) WHERE text <> ''""",
 )
@@ -122,7 +122,7 @@ def batch_from_json(spark, folder):
         .otherwise(F.to_json(F.struct(lines.alias("messages"))))
     )
     rows = uploads.json_texts(table(spark, folder, "documents").select("doc_id", payload.alias("payload")), "payload", ["doc_id"])
-    return batch.accepted(batch.check_texts(rows)).select("doc_id", "row_number", "text")
+    return batch.check_texts(rows).filter(F.col("status") != batch.BLANK).select("doc_id", "row_number", "text", "status")
 
 
 @query(

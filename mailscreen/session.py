@@ -97,6 +97,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Treat a union as unpartitioned.
+
+    Spark 4.1 lets a union keep the partitioning its inputs share; under adaptive
+    execution an input can change after that was relied on, and the job then fails with
+    "Can't zip RDDs with unequal numbers of partitions".
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def join_summary(big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a large table with a summary of it.
 

@@ -89,7 +89,7 @@ def test_scaling_leaves_zero_columns(texts):
 
 def test_vectors_keep_every_row(spark):
     weights = spark.createDataFrame([(1, "a", 0.5), (1, "c", -2.0), (2, "b", 0.1234567890123456)], "id long, feature string, weight double")
-    index = feat.index_features([spark.createDataFrame([("c",), ("a",)], "feature string"), spark.createDataFrame([("b",)], "feature string")])
-    got = {r["id"]: r["features"] for r in feat.to_vectors(weights, "id", index, 3).collect()}
+    index = feat.index_features([spark.createDataFrame([("c",), ("a",)], "feature string"), spark.createDataFrame([("b",), ("zz",)], "feature string")])
+    got = {r["id"]: r["features"] for r in feat.to_vectors([weights.filter("feature <> 'b'").unionByName(spark.createDataFrame([(2, "zz", 1.0)], weights.schema)), weights.filter("feature = 'b'")], "id", index, 4).collect()}
     assert list(got[1].indices) == [0, 1] and list(got[1].values) == [0.5, -2.0]
-    assert got[2].toArray().tolist() == [0.0, 0.0, 0.1234567890123456]
+    assert got[2].toArray().tolist() == [0.0, 0.0, 0.1234567890123456, 1.0]
