@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Python's white space, word and digit characters as class bodies.  ASCII
 # comes first because the JVM tests such ranges with one table lookup.
 SPACE = r"\t\n\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD_SPACE = f"[[^ -~]&&[{SPACE.replace(' ', '')}]]"  # all but the blank; ASCII text is ruled out at once
 WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 DIGIT = r"0-9\p{Nd}"
 
@@ -64,7 +65,8 @@ def mask_addresses(text: str | Column) -> Column:
 
 def squeeze(text: str | Column) -> Column:
     """White-space runs become one blank; none is left at either end."""
-    return F.trim(F.regexp_replace(_column(text), f"[{SPACE}]+", " "))
+    blanks = F.regexp_replace(_column(text), ODD_SPACE, " ")
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def strip(text: str | Column) -> Column:
@@ -74,7 +76,7 @@ def strip(text: str | Column) -> Column:
 
 def normalize_whitespace(text: str | Column) -> Column:
     """`squeeze`, then no blank in front of punctuation."""
-    return F.regexp_replace(squeeze(text), r" +([!?.,;:])", "$1")
+    return F.regexp_replace(squeeze(text), " (?=[!?.,;:])", "")
 
 
 def clean_text(text: str | Column) -> Column:

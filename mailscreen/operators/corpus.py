@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mailscreen.config import HAM, SPAM
 from mailscreen.functions.text import clean_text, dedupe_hash, strip
-from mailscreen.session import computed
+from mailscreen.session import computed, plain_unions
 
 MAIL_SCHEMA = T.StructType(
     [
@@ -64,6 +64,7 @@ def union_sources(sources: list[DataFrame | None]) -> DataFrame:
     ranked = [df.withColumn("source_rank", F.lit(rank)) for rank, df in enumerate(sources) if df is not None]
     if not ranked:
         raise ValueError("no source was given")
+    plain_unions(ranked[0].sparkSession)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 

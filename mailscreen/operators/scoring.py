@@ -22,6 +22,7 @@ from mailscreen.functions.probability import (
     stable_softmax,
 )
 from mailscreen.functions.text import served_preview
+from mailscreen.session import plain_unions
 
 SIGNALS = "array<struct<feature:string,contribution:double,direction:string>>"
 
@@ -100,6 +101,7 @@ def top_signals(blocks: DataFrame | list[DataFrame], predictions: DataFrame, id_
     before they meet.
     """
     blocks = blocks if isinstance(blocks, list) else [blocks]
+    plain_unions(predictions.sparkSession)
     sign = F.when(F.col("prediction") == 1, 1.0).otherwise(-1.0)
     rank = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("_toward"), "feature"))
     called = predictions.select(id_column, "prediction")

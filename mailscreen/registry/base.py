@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailscreen.functions.probability import confidence
 from mailscreen.functions.stats import with_email_stats
 from mailscreen.operators.corpus import finalize
-from mailscreen.session import spread
+from mailscreen.session import plain_unions, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,7 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    plain_unions(spark)
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 

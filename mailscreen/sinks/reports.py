@@ -45,6 +45,7 @@ def metrics_markdown(title: str, metrics: DataFrame) -> DataFrame:
         F.concat(F.lit(f"- {shown}: "), _four(F.col(name)))
         for name, shown in (("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("f1_score", "F1-score"))
     ]
+    # The lines of the report.
     report = _lines(
         f"# {title}", "", "## Overall Metrics", "", *overall, *optional, "", "## Per-Class Metrics", "",
         F.concat(F.lit("- Ham precision/recall/F1: "), triple(tn, fn, fp)),
@@ -120,8 +121,8 @@ def model_info(metadata: DataFrame, column: str = "metadata") -> DataFrame:
     """Long form (section, metric, value) from metadata JSON: test metrics, and validation
     metrics of the best model, at four decimals."""
 
-    def value(path: Column, name: str) -> Column:
-        return F.expr("try_cast(_v AS double)") if name == "_v" else F.try_variant_get(path, f"$.{name}", "double")
+    def value(part: Column, name: str) -> Column:
+        return F.try_variant_get(part, f"$.{name}", "double")
 
     parsed = metadata.select(F.parse_json(column).alias("m"))
     best = F.try_variant_get("m", "$.best_model", "string")
