@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailscreen.functions.stats import STATISTICS, with_email_stats
-from mailscreen.session import settle, written
+from mailscreen.session import computed, settle, written
 
 STATS_PREFIX = "email_stats__"
 VECTOR_ROW = T.StructType([T.StructField("features", VectorUDT())])
@@ -87,7 +87,7 @@ def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size:
         gathered = block.join(F.broadcast(index), "feature").groupBy(id_column).agg(F.collect_list(entry).alias(name))
         rows = gathered if rows is None else rows.join(gathered, id_column, "left")
     nothing = F.array().cast("array<struct<i:int,w:double>>")
-    rows = rows.select(id_column, F.array_sort(F.concat(*[F.coalesce(n, nothing) for n in names])).alias("_e"))
+    rows = computed(rows, _e=F.sort_array(F.concat(*[F.coalesce(n, nothing) for n in names]))).select(id_column, "_e")
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),
