@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.html_text import extract_text
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table
+from mailscreen.llm.sharding import shard_documents
 from mailscreen.llm.url_filter import Rule, filter_urls, url_host
 
 # The words that put a registered domain on the block list.
@@ -23,6 +24,15 @@ URL_RULES = [
 ]
 
 
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", crc.alias("text_crc32"))
+    return shard_documents(docs, shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query(
     "op4_url_filter",
     """

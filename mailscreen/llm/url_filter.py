@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailscreen.llm.registry import long_array
 from mailscreen.session import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,12 +84,9 @@ class BloomLevel:
     words: tuple[int, ...]
 
     def may_hold(self, key: Column) -> Column:
-        words = F.lit(list(self.words))
-        found = F.lit(True)
-        for p in bit_positions(key, self.bits, self.hashes, self.salt):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.getbit(word, (p % 64).cast("int")) == 1)
-        return found
+        words = long_array(self.words)
+        places = F.array(*bit_positions(key, self.bits, self.hashes, self.salt))
+        return F.forall(places, lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
 
 
 def bit_positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
