@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.html_text import extract_text
+from mailscreen.llm.quality import judge_quality
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table
 from mailscreen.llm.sharding import shard_documents
 from mailscreen.llm.url_filter import Rule, filter_urls, url_host
@@ -33,6 +34,13 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
+
+
 @query(
     "op4_url_filter",
     """
