@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.html_text import extract_text
+from mailscreen.llm.near_dup import near_duplicates
 from mailscreen.llm.quality import judge_quality
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table
 from mailscreen.llm.sharding import shard_documents
@@ -74,6 +75,12 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+@query("op7_minhash_neardup")
+def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query(
     "op9_html_text",
     r"""
