@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.html_text import extract_text
+from mailscreen.llm.langid import held_out, identify, train_languages
 from mailscreen.llm.near_dup import near_duplicates
 from mailscreen.llm.quality import judge_quality
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table
@@ -75,6 +76,13 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train_languages(docs.where("NOT held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @query("op7_minhash_neardup")
 def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
