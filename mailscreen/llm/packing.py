@@ -3,11 +3,9 @@
 The lengths of all pieces make a histogram of at most `capacity` bins, whatever the number of
 documents.  Over it, the linear program "fewest sequences that together hold every piece,
 each filled by one configuration of lengths" is solved approximately by multiplicative
-weights: every length has a price, the best configuration at these prices is found by an
-exact knapsack dynamic program, and lengths it holds become cheaper.  The average of the
-configurations chosen is the fractional solution; it is rounded down, lengths held too
-often are trimmed, and what is left over (as many sequences as there are configurations, at
-most) is packed best fit, longest first.
+weights: every length has a price, the best configurations at these prices are found by
+exact knapsack dynamic programming, and lengths they hold become cheaper.  The fractional
+solution is rounded down, and what is left over is packed best fit, longest first.
 
 The plan (configurations with their multiplicities) is then laid over the pieces: the n-th
 piece of a length goes to the place of that length that the plan counts as its n-th.  The
@@ -26,9 +24,10 @@ their own; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -250,62 +249,89 @@ class Knapsack:
         return found
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float, slack: float, eta: float) -> dict[tuple, float]:
-    """Configurations ((index of length, copies), ...) and how often each is used (fractional).
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float, slack: float, eta: float) -> tuple[dict[tuple, float], float]:
+    """Configurations ((index of length, copies), ...) with how often each is used (fractional),
+    and a lower bound on the sequences that any packing needs.
 
     Multiplicative weights on the covering constraints "held >= counts": a length's price is
-    its weight per piece, and the weight falls by exp(-share of the demand just covered), so
-    lengths that lag behind grow dear.  One knapsack prices a whole round: for every length
-    it gives the best configuration that contains it, and all within `slack` of the best one
-    are used by a step that covers at most `rate` of each of their lengths.
+    its weight per piece, and the weight falls by exp(-eta x share of the demand just covered),
+    so lengths that lag behind grow dear.  One knapsack prices a whole round: for every length
+    it gives the best configuration that contains it; all within `slack` of the best one are
+    used, as far as the round covers no more than `rate` of any length's demand.  Prices at which
+    no configuration is worth more than 1 are a dual solution: what all pieces are worth
+    then is the bound.
     """
     held, weight = np.zeros(len(lengths)), np.zeros(len(lengths))  # weight: logarithms
     used: dict[tuple, float] = {}
+    bound = float((counts * lengths).sum() / capacity)
     for _ in range(rounds):
         open_ = np.flatnonzero(held < counts)
         if not len(open_):
             break
         prices = np.exp(weight - weight.max()) / counts
         knapsack = Knapsack(prices, lengths, capacity)
+        bound = max(bound, float((prices * counts).sum() / knapsack.value[capacity]))
         containing = prices[open_] + knapsack.value[capacity - lengths[open_]]
         gained = np.zeros(len(lengths))
         for k in open_[containing >= (1 - slack) * containing.max()]:
             config = knapsack.filling(capacity - int(lengths[k]))
             config[int(k)] += 1
-            step = rate * min(counts[i] / n for i, n in config.items())
+            step = min((rate * counts[i] - gained[i]) / n for i, n in config.items())
+            if step <= 0:
+                continue
             key = tuple(sorted(config.items()))
             used[key] = used.get(key, 0.0) + step
             for i, n in config.items():
                 gained[i] += step * n
         held += gained
         weight -= eta * gained / counts
-    return used
-
-
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 200, rate: float = 0.03, slack: float = 0.05, eta: float = 30.0, up: bool = True) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such sequences); every piece has one place."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    plan: Counter = Counter()
-    if full := left.pop(capacity, 0):
-        plan[(capacity,)] = full
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[n] for n in sorted(left)], dtype=float)
-        solution = solve_configurations(lengths, counts, capacity, rounds, rate, slack, eta)
-
-        def room(config: tuple) -> int:
-            return capacity - sum(int(lengths[k]) * n for k, n in config)
-
-        # Rounded down, fullest first, and never more of a length than there is.
-        for config in sorted(solution, key=lambda c: (room(c), c)):
-            times = min([int(solution[config] + (0.999 if up else 0)), *(left[int(lengths[k])] // n for k, n in config)])
-            if times > 0:
-                plan[tuple(int(lengths[k]) for k, n in reversed(config) for _ in range(n))] += times
-                for k, n in config:
-                    left[int(lengths[k])] -= n * times
-        for config, times in best_fit({n: c for n, c in left.items() if c}, capacity).items():
-            plan[config] += times
-    return sorted(plan.items())
+    return used, bound
+
+
+def plan_packing(
+    histogram: dict[int, int],
+    capacity: int = CAPACITY,
+    rounds: int = 150,
+    rate: float = 0.1,
+    slack: float = 0.05,
+    eta: float = 20.0,
+    scales: tuple[float, ...] = (1.0, 0.9, 0.5, 0.0),
+) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(Sequences as (lengths in order, how many such sequences), lower bound on their number).
+
+    The fractional solution is rounded down at several scales, the rest packed best fit, and
+    the smallest outcome taken.  Where lengths are rare all fractions round to nothing, and
+    at scale 0 nothing is taken from the solution: then the packing is best fit alone.
+    """
+    pieces = {n: c for n, c in histogram.items() if c > 0}
+    full = pieces.pop(capacity, 0)
+    whole = [((capacity,), full)] if full else []
+    if not pieces:
+        return whole, full
+    lengths = np.array(sorted(pieces))
+    counts = np.array([pieces[n] for n in sorted(pieces)], dtype=float)
+    solution, bound = solve_configurations(lengths, counts, capacity, rounds, rate, slack, eta)
+    plans = [rounded(solution, scale, lengths, pieces, capacity) for scale in scales]
+    best = min(plans, key=lambda p: sum(p.values()))
+    return whole + sorted(best.items()), full + math.ceil(bound - 1e-6)
+
+
+def rounded(solution: dict[tuple, float], scale: float, lengths: np.ndarray, pieces: dict[int, int], capacity: int) -> Counter:
+    """Whole sequences from a fractional solution, and best fit for what is left."""
+    left, plan = dict(pieces), Counter()
+
+    def room(config: tuple) -> int:
+        return capacity - sum(int(lengths[k]) * n for k, n in config)
+
+    # Fullest first, and never more of a length than there is.
+    for config in sorted(solution, key=lambda c: (room(c), c)):
+        times = min([int(scale * solution[config]), *(left[int(lengths[k])] // n for k, n in config)])
+        if times > 0:
+            plan[tuple(int(lengths[k]) for k, n in reversed(config) for _ in range(n))] += times
+            for k, n in config:
+                left[int(lengths[k])] -= n * times
+    plan.update(best_fit({n: c for n, c in left.items() if c}, capacity))
+    return plan
 
 
 def best_fit(left: dict[int, int], capacity: int) -> Counter:
@@ -375,7 +401,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     pieces = written(tokenized_pieces(docs, capacity, path, doc_id, text), "pieces")
     by_task = written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(Places(plan_packing(histogram, capacity)))
+    places = spark.sparkContext.broadcast(Places(plan_packing(histogram, capacity)[0]))
     before = by_task.selectExpr("task", "length", "coalesce(sum(n) OVER (PARTITION BY length ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
     numbered = pieces.join(before, ["task", "length"]).withColumn("number", F.col("before") + F.col("nth"))
 

@@ -140,7 +140,7 @@ def language_references(docs: DataFrame, limits: QualityLimits = QualityLimits()
     spaces = F.length("text") - F.length(F.array_join("_words", ""))
     symbols = F.regexp_count(F.col("text"), F.lit(SYMBOLS))
     classes = computed(judged, _c=class_counts(F.col("text"), spaces, symbols)).groupBy("_lang")
-    classes = classes.agg(F.array(*[F.sum(F.col("_c")[i]) for i in range(CLASSES)]).alias("class_counts"))
+    classes = written(classes.agg(F.array(*[F.sum(F.col("_c")[i]) for i in range(CLASSES)]).alias("class_counts")), "class-counts")
     words = judged.select("_lang", F.explode("_words").alias("word"))
     counts = written(words.groupBy("_lang", "word").agg(F.count("*").alias("n")), "word-counts")
     totals = counts.groupBy("_lang").agg(F.sum("n").alias("total"))

@@ -12,6 +12,7 @@ from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.html_text import extract_text
 from mailscreen.llm.langid import held_out, identify, train_languages
 from mailscreen.llm.near_dup import near_duplicates
+from mailscreen.llm.packing import pack_documents
 from mailscreen.llm.quality import judge_quality
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table
 from mailscreen.llm.sharding import shard_documents
@@ -27,6 +28,11 @@ URL_RULES = [
 ]
 
 
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
