@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm.chat import read_back, render_turns
+from mailscreen.llm.decontaminate import find_passages
 from mailscreen.llm.html_text import extract_text
 from mailscreen.llm.langid import held_out, identify, train_languages
+from mailscreen.llm.licence import scan_licences, train_licences
 from mailscreen.llm.near_dup import near_duplicates
 from mailscreen.llm.packing import pack_documents
 from mailscreen.llm.quality import judge_quality
@@ -82,6 +84,14 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+@query("op5_licence_scan")
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per notice found; documents without any have none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = scan_licences(docs, train_licences(docs))
+    return found.select("doc_id", "line", "start", "end", "family", "predicted", F.round("probability", 4).alias("probability"), F.round("overlap", 6).alias("overlap"))
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
@@ -95,6 +105,49 @@ def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query(
+    "op8_decontamination",
+    r"""
+    WITH item AS (
+      SELECT item_id, w, len(w) AS size FROM (
+        SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM benchmark) WHERE len(w) > 0),
+    doc AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    item_run AS (
+      SELECT item_id, size, i AS place, array_to_string(w[i + 1 : i + least(size, 5)], ' ') AS s
+      FROM item, unnest(generate_series(0, greatest(0, size - 5))) AS t(i)),
+    weight AS (SELECT s, 1.0 / count(DISTINCT item_id) AS weight FROM item_run GROUP BY s),
+    width AS (SELECT DISTINCT least(size, 5) AS width FROM item),
+    doc_run AS (
+      SELECT doc_id, width, i AS pos, array_to_string(w[i + 1 : i + width], ' ') AS s
+      FROM doc, width, unnest(generate_series(0, len(w) - width)) AS t(i)),
+    start_at AS (
+      SELECT DISTINCT doc_id, size, greatest(0, least(pos - place, len(w) - size)) AS start_word
+      FROM doc_run JOIN item_run USING (s) JOIN doc USING (doc_id) WHERE width = least(size, 5)),
+    window_ AS (SELECT doc_id, size, start_word, w[start_word + 1 : start_word + size] AS w FROM start_at JOIN doc USING (doc_id)),
+    window_run AS (
+      SELECT doc_id, size, start_word, array_to_string(w[i + 1 : i + least(len(w), 5)], ' ') AS s, count(*) AS n
+      FROM window_, unnest(generate_series(0, greatest(0, len(w) - 5))) AS t(i) GROUP BY ALL),
+    window_sum AS (SELECT doc_id, size, start_word, sum(n * coalesce(weight, 1.0)) AS total FROM window_run LEFT JOIN weight USING (s) GROUP BY ALL),
+    item_count AS (SELECT item_id, s, count(*) AS n FROM item_run GROUP BY ALL),
+    item_sum AS (SELECT item_id, sum(n * weight) AS total FROM item_count JOIN weight USING (s) GROUP BY ALL),
+    shared AS (
+      SELECT doc_id, size, start_word, item_id, sum(least(r.n, c.n) * weight) AS common
+      FROM window_run r JOIN item_count c USING (s) JOIN weight USING (s) GROUP BY ALL),
+    alike AS (
+      SELECT doc_id, start_word, shared.item_id, round(common / (a.total + b.total - common), 9) AS similarity
+      FROM shared JOIN window_sum a USING (doc_id, size, start_word) JOIN item_sum b USING (item_id))
+    SELECT doc_id, item_id, round(max(similarity), 6) AS similarity FROM alike WHERE similarity >= 0.75 GROUP BY ALL
+    """,
+)
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_passages(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "op9_html_text",
     r"""
