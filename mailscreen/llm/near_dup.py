@@ -2,12 +2,13 @@
 
 1. classes     Documents with one shingle set are one class; its smallest id stands for it.
                Classes are formed by a grouped minimum, so copies collapse before the shuffle.
-2. bands       128 MinHash samples per class, cut into 32 bands of 4.  A pair of similarity
-               0.75 shares no band with a probability of 5e-6.
-3. odd sketch  The samples are folded into 512 parity bits: sample i flips one bit.  The
+2. bands       256 MinHash samples per class, of which 128 are cut into 32 bands of 4.  A pair
+               of similarity 0.75 shares no band with a probability of 5e-6.
+3. odd sketch  The samples are folded into 1024 parity bits: sample i flips one bit.  The
                exclusive or of two sketches has about m/2 (1 - exp(-4k(1-J)/m)) bits set,
                which gives J closely where it is high.  Pairs estimated at less than
-               `min_estimate` (over 4 standard errors under the threshold) end here.
+               `min_estimate` (3.5 standard errors under the threshold) end here, as do pairs
+               whose set sizes alone rule the threshold out.
 4. confirm     100 |A and B| >= threshold |A or B| on the full shingle sets.
 5. components  Smallest reachable id over the confirmed links.
 
@@ -38,7 +39,7 @@ from mailscreen.llm.graph import components
 from mailscreen.llm.words import mix, shingle_sets
 from mailscreen.session import settle, written
 
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -47,12 +48,9 @@ class NearDupSettings:
     threshold: int = 75  # percent
     bands: int = 32
     rows: int = 4
-    min_estimate: float = 0.55
-    pivot_rounds: int = 2
-
-    @property
-    def samples(self) -> int:
-        return self.bands * self.rows
+    samples: int = 256
+    min_estimate: float = 0.65
+    pivot_rounds: int = 4
 
 
 def min_samples(hashes: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -85,7 +83,7 @@ def signatures(docs: DataFrame, settings: NearDupSettings, doc_id: str, text: st
                 if not len(hashes):
                     continue
                 samples = min_samples(hashes, keys)
-                bands = mix(samples.reshape(settings.bands, settings.rows) + np.arange(settings.rows, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                bands = mix(samples[: settings.bands * settings.rows].reshape(settings.bands, settings.rows) + np.arange(settings.rows, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
                 out[i, 0] = len(hashes)
                 out[i, 1:3] = hashes.sum(dtype=np.uint64), mix(hashes).sum(dtype=np.uint64)
                 out[i, 3 : 3 + settings.bands] = mix(bands + np.arange(settings.bands, dtype=np.uint64))
@@ -127,11 +125,13 @@ class _Links:
         self.names = [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def side(self, node: str, prefix: str) -> DataFrame:
-        return self.sketches.select(F.col("node").alias(node), *[F.col(n).alias(prefix + n) for n in self.names])
+        return self.sketches.select(F.col("node").alias(node), *[F.col(n).alias(prefix + n) for n in ["n_shingles", *self.names]])
 
     def likely(self, prefix_a: str, prefix_b: str) -> Column:
         columns = ([F.col(p + n) for n in self.names] for p in (prefix_a, prefix_b))
-        return estimate(self.settings.samples, *columns) >= self.settings.min_estimate
+        sizes = [F.col(p + "n_shingles") for p in (prefix_a, prefix_b)]
+        possible = F.least(*sizes) * 100 >= F.greatest(*sizes) * self.settings.threshold
+        return possible & (estimate(self.settings.samples, *columns) >= self.settings.min_estimate)
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) whose sketches are alike."""
@@ -143,7 +143,7 @@ class _Links:
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         alike = both * 100 >= self.settings.threshold * (F.size("sa") + F.size("sb") - both)
-        return settle(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+        return written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     held = written(members.select("node").distinct(), "members")
     rows = docs.join(held, F.col(doc_id) == F.col("node"), "left_semi")
     sets = written(shingles(rows, settings, doc_id, text).dropDuplicates(["node"]), "shingles")
-    confirm = _Links(nodes.select("node", *[f"s{i}" for i in range(SKETCH_WORDS)]), sets, settings)
+    confirm = _Links(nodes.select("node", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]), sets, settings)
 
     links = _links(members, confirm, settings)
     found = settle(components(links))
@@ -183,10 +183,11 @@ def _links(members: DataFrame, confirm: _Links, settings: NearDupSettings) -> Da
         pivots = open_.groupBy("bucket").agg(chosen.alias("p")).select("bucket", "p.pivot", "p.top")
         pairs = open_.join(pivots, "bucket").where("component <> top").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         new = confirm.confirmed(confirm.screened(pairs))
-        links = new if links is None else settle(links.union(new))
+        links = new if links is None else written(links.union(new), "links")
         open_ = _still_open(members, components(links))
-    left = open_.join(confirm.side("node", "a_"), "node").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), *[f"a_{n}" for n in confirm.names])
-    right = left.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"), *[F.col(f"a_{n}").alias(f"b_{n}") for n in confirm.names])
+    names = ["n_shingles", *confirm.names]
+    left = open_.join(confirm.side("node", "a_"), "node").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), *[f"a_{n}" for n in names])
+    right = left.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"), *[F.col(f"a_{n}").alias(f"b_{n}") for n in names])
     rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") < F.col("cb")) & confirm.likely("a_", "b_"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.union(confirm.confirmed(rest))
