@@ -36,10 +36,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangSettings:
-    dimensions: int = 1 << 13
+    dimensions: int = 1 << 12
     centroids: int = 4
     rounds: int = 10
-    max_training: int = 8_000
+    max_training: int = 3_000
     outliers: float = 0.002
     slack: float = 0.75
 
