@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from mailscreen.functions.text import squeeze
 from mailscreen.session import computed
 
-MAX_TEXT_LENGTH = 20_000
-MAX_BATCH_ROWS = 5_000
-
 # Status and error codes.
 OK, BLANK, TOO_LARGE = "ok", "blank", "text_too_large"
 EMPTY_BATCH, BATCH_TOO_LARGE = "empty_batch", "batch_too_large"
@@ -22,13 +19,16 @@ class BatchRejected(ValueError):
         self.code = code
 
 
-def check_texts(df: DataFrame, text: str = "text", max_length: int = MAX_TEXT_LENGTH) -> DataFrame:
-    """Squeeze white space and add `status`: ok, blank or text_too_large."""
+def check_texts(df: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
+    """Squeeze white space and add `status`: ok, blank or, with a `max_length`, text_too_large."""
     others = [c for c in df.columns if c != text]
     raw = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     squeezed = computed(raw, **{text: squeeze("_text")}).select(*[F.col(c) for c in df.columns])
     length = F.length(text)
-    return squeezed.withColumn("status", F.when(length == 0, BLANK).when(length > max_length, TOO_LARGE).otherwise(OK))
+    status = F.when(length == 0, BLANK)
+    if max_length is not None:
+        status = status.when(length > max_length, TOO_LARGE)
+    return squeezed.withColumn("status", status.otherwise(OK))
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def batch_status(checked: DataFrame, max_rows: int | None = None) -> DataFrame:
 def validate(checked: DataFrame, mode: str = "quarantine", max_rows: int | None = None) -> DataFrame:
     """The rows to score.  `strict` raises BatchRejected where a request would be refused."""
     if mode == "strict":
-        code = batch_status(checked, MAX_BATCH_ROWS if max_rows is None else max_rows).first()["code"]
+        code = batch_status(checked, max_rows).first()["code"]
         if code != OK:
             raise BatchRejected(code)
     elif mode != "quarantine":

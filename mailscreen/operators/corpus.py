@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mailscreen.config import HAM, SPAM
 from mailscreen.functions.text import clean_text, dedupe_hash, strip
-from mailscreen.session import computed, plain_unions
+from mailscreen.session import computed, join_summary, plain_unions, written
 
 MAIL_SCHEMA = T.StructType(
     [
@@ -25,6 +25,18 @@ MAIL_SCHEMA = T.StructType(
 MAIL_COLUMNS = MAIL_SCHEMA.fieldNames()
 
 
+def whole_number(value: Column) -> Column:
+    """An integer however it is written (`1`, ` 1 `, `1.0`, 1.0); NULL for anything else."""
+    number = value.cast("string").try_cast("double")
+    return F.when(number == F.floor(number), number.cast("int"))
+
+
+def unreadable_labels(df: DataFrame, label: str) -> DataFrame:
+    """One row: how many rows have a label that `finalize` cannot read as 0 or 1."""
+    known = F.coalesce(whole_number(F.col(label)).isin(HAM, SPAM), F.lit(False))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum((~known).cast("int")), F.lit(0)).alias("unreadable"))
+
+
 def finalize(
     df: DataFrame,
     source: str | Column,
@@ -39,7 +51,7 @@ def finalize(
     A row stays when its cleaned text is not empty and its label is 0 or 1.  The label
     name is taken as given where a column is named, else derived from the label.
     """
-    label_id = F.expr(f"try_cast(`{label}` AS int)")
+    label_id = whole_number(F.col(label))
     if label_name is not None:
         name = F.lower(strip(F.coalesce(F.col(label_name).cast("string"), F.lit(""))))
     else:
@@ -75,16 +87,19 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, order: list[str], text: str = "text", key: Column | None = None) -> DataFrame:
-    """One row per distinct text: the first by `order`.
+    """One row per distinct text: the first by `order` (any, where rows tie).
 
-    Aggregates a whole row per key hash, so copies collapse before the shuffle (a text
-    repeated in a third of all rows costs one row per task) and the input is read once.
-    The hash stays in the result as `text_key`; it is unique there.
+    The rows are written once with their key, so nothing above is computed twice.  First
+    rows are then found on keys and order columns alone; the rows that lose are few where
+    copies are few, and dropping them by row number moves no text (they are broadcast if
+    counted small).  The hash stays in the result as `text_key`; it is unique there.
     """
-    columns = df.columns
-    keyed = df.withColumn("text_key", key if key is not None else dedupe_hash(text))
-    first = F.min_by(F.struct(*columns), F.struct(*order))
-    return keyed.groupBy("text_key").agg(first.alias("row")).select("row.*", "text_key")
+    keyed = computed(df.drop("text_key"), text_key=key if key is not None else dedupe_hash(text))
+    keyed = written(keyed.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    narrow = keyed.select("text_key", "_row", F.struct(*order, "_row").alias("_place"))
+    repeated = narrow.groupBy("text_key").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    later = join_summary(narrow.select("text_key", "_row"), repeated.select("text_key", F.col("_first._row").alias("_kept")), ["text_key"])
+    return join_summary(keyed, later.filter("_row <> _kept").select("_row"), ["_row"], "left_anti").drop("_row")
 
 
 def select_mail(df: DataFrame, label: int | None = None, source: str | None = None) -> DataFrame:
@@ -191,11 +206,11 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 def class_weights(df: DataFrame) -> DataFrame:
-    """label, weight = total / (2 * rows of the label), for labels 0 and 1 in any case."""
+    """total, label, weight = total / (2 * rows of the label), for labels 0 and 1 in any case."""
     totals = label_totals(df)
     both = totals.select(
         "total", F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.col(n).alias("n")) for i, n in ((HAM, "ham"), (SPAM, "spam"))])).alias("c")
     )
     return both.select(
-        F.col("c.label").alias("label"), (F.col("total") / (F.greatest(F.col("c.n"), F.lit(1)) * 2.0)).alias("weight")
+        "total", F.col("c.label").alias("label"), (F.col("total") / (F.greatest(F.col("c.n"), F.lit(1)) * 2.0)).alias("weight")
     )

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailscreen.functions.stats import STATISTICS, with_email_stats
-from mailscreen.session import computed, settle, written
+from mailscreen.session import computed, sized, written
 
 STATS_PREFIX = "email_stats__"
 VECTOR_ROW = T.StructType([T.StructField("features", VectorUDT())])
@@ -55,15 +55,22 @@ def named_weights(weights: DataFrame, id_column: str, prefix: str) -> DataFrame:
 def index_features(features: list[DataFrame]) -> DataFrame:
     """(feature, index): one running number over blocks of feature names.
 
-    The names are the capped vocabularies and eleven statistics, so the one task that
-    numbers them sees at most max_word_features + max_char_features + 11 rows.
+    Names are sorted into ranges and numbered within each; a range's offset is the number
+    of names in the ranges before it.
     """
     names = None
     for block, frame in enumerate(features):
         part = frame.select(F.lit(block).alias("block"), "feature")
         names = part if names is None else names.unionByName(part)
-    number = F.row_number().over(Window.orderBy("block", "feature")) - 1
-    return settle(names.select("feature", number.alias("index")))
+    # The id's upper bits are the range, its lower 33 bits the place in the range.
+    placed = written(names.orderBy("block", "feature").withColumn("_at", F.monotonically_increasing_id()), "names")
+    placed = placed.select("feature", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    sizes = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
+    offset, before = F.lit(0), 0
+    for number in sorted(sizes):
+        offset = F.when(F.col("_range") == number, before).otherwise(offset)
+        before += sizes[number]
+    return written(placed.select("feature", (offset + F.col("_place")).cast("int").alias("index")), "index")
 
 
 def statistic_names(df: DataFrame) -> DataFrame:
@@ -76,15 +83,16 @@ def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size:
     Blocks are (id, feature, weight).  Each is gathered into one row per id and the rows
     are joined; blocks that are partitioned by id already do not move.  Spark has no
     expression that turns index and value arrays into a vector, but its JSON reader
-    accepts the vector type, which keeps the step inside the JVM.  `index` is bounded by
-    the vocabulary caps, hence broadcast.
+    accepts the vector type, which keeps the step inside the JVM.  `index` is
+    broadcast if it is small enough.
     """
     entry = F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("w"))
+    index = sized(index)
     names, rows = [], None
     for number, block in enumerate(blocks):
         name = f"_e{number}"
         names.append(name)
-        gathered = block.join(F.broadcast(index), "feature").groupBy(id_column).agg(F.collect_list(entry).alias(name))
+        gathered = block.join(index, "feature").groupBy(id_column).agg(F.collect_list(entry).alias(name))
         rows = gathered if rows is None else rows.join(gathered, id_column, "left")
     nothing = F.array().cast("array<struct<i:int,w:double>>")
     rows = computed(rows, _e=F.sort_array(F.concat(*[F.coalesce(n, nothing) for n in names]))).select(id_column, "_e")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.config import SplitFractions
 from mailscreen.functions.text import sample_preview
-from mailscreen.session import join_summary, seeded_hash, settle
+from mailscreen.session import join_summary, plain_unions, seeded_hash, settle, written
 
 BUCKET_DIGITS = 4
 
@@ -27,31 +27,6 @@ def _bucketed(df: DataFrame, group: list[str], order: Column, digits: int) -> Da
     return df.select(*group, order.alias("_h")).withColumn("_bucket", F.substring("_h", 1, digits))
 
 
-def _histogram(keyed: DataFrame, group: list[str]) -> DataFrame:
-    return settle(keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")))
-
-
-def cutoffs(keyed: DataFrame, hist: DataFrame, group: list[str], wanted: DataFrame) -> DataFrame:
-    """The hash at each wanted 1-based `position` of each group.
-
-    `wanted` has the group columns and `position`; a handful of rows per group.
-    """
-    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))
-    edges = (
-        hist.withColumn("_upto", upto)
-        .join(wanted, group)
-        .filter((F.col("position") <= F.col("_upto")) & (F.col("position") > F.col("_upto") - F.col("_n")))
-        .select(*group, "_bucket", "position", (F.col("position") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    within = Window.partitionBy(*group, "_bucket", "position").orderBy("_h")
-    return (
-        join_summary(keyed, edges, [*group, "_bucket"])
-        .withColumn("_rank", F.row_number().over(within))
-        .filter(F.col("_rank") == F.col("_need"))
-        .select(*group, "position", F.col("_h").alias("cutoff"))
-    )
-
-
 def split_quotas(counts: dict[int, int], fractions: SplitFractions) -> dict[int, tuple[int, int, int]]:
     """label -> (test, validation, train) rows.
 
@@ -85,7 +60,8 @@ def _label_pieces(df: DataFrame, order: Column, label: str, sizes) -> Column:
     Labels are few (0 and 1 in a finalized corpus): the driver sees one histogram of at
     most 16**BUCKET_DIGITS buckets per label, and the cut-offs go into the plan as literals.
     """
-    keyed = _bucketed(df, [label], order, BUCKET_DIGITS)
+    # Hashes are written once: the input above them may be costly.
+    keyed = written(_bucketed(df, [label], order, BUCKET_DIGITS), "split-hashes")
     hist = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n")).collect()
     counts: dict = {}
     for row in hist:
@@ -170,17 +146,34 @@ def sample_listing(df: DataFrame, n: int, ids: list[str], seed: int = 42) -> Dat
     )
 
 
-def cap_per_group(df: DataFrame, group: str, cap: int, ids: list[str], seed: int = 42) -> DataFrame:
-    """At most `cap` random rows of every group; smaller groups stay whole."""
-    order = seeded_hash(seed, *ids)
-    keyed = _bucketed(df, [group], order, 3)
-    hist = _histogram(keyed, [group])
-    crowded = (
-        hist.groupBy(group).agg(F.sum("_n").alias("_total")).filter(F.col("_total") > cap).select(group, F.lit(cap).cast("long").alias("position"))
+def cap_per_group(df: DataFrame, group: str, cap: int | None, ids: list[str], seed: int = 42) -> DataFrame:
+    """`cap` random rows of every group (None: all); smaller groups stay whole.
+
+    Rows are ordered by the hash of their ids, then of all their columns, so equal or NULL
+    ids do not tie.  Rows that tie all the same are equal in every column: of those at the
+    cut-off, as many copies are given as the cap leaves room for.
+    """
+    if cap is None:
+        return df
+    content = F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
+    hashed = written(df.withColumn("_h", F.concat(seeded_hash(seed, *ids), content)), "capped")
+    # Equal rows are one entry with a count, however many they are.
+    sizes = settle(hashed.groupBy(group, "_h").agg(F.count("*").alias("_n")).withColumn("_bucket", F.substring("_h", 1, 3)))
+    buckets = settle(sizes.groupBy(group, "_bucket").agg(F.sum("_n").alias("_n")))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket"))
+    edges = buckets.withColumn("_upto", upto).filter((F.lit(cap) < F.col("_upto")) & (F.lit(cap) >= F.col("_upto") - F.col("_n")))
+    edges = edges.select(group, "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = join_summary(sizes, edges, [group, "_bucket"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(group, "_bucket").orderBy("_h"))
     )
-    limits = cutoffs(keyed, hist, [group], crowded).select(group, "cutoff")
-    joined = join_summary(df.withColumn("_h", order), limits, [group], "left")
-    return joined.filter(F.col("cutoff").isNull() | (F.col("_h") <= F.col("cutoff"))).select(*df.columns)
+    cut = inside.filter((F.lit(cap) < F.col("_upto")) & (F.lit(cap) >= F.col("_upto") - F.col("_n")))
+    cut = cut.select(group, F.col("_h").alias("_cut"), (F.lit(cap) - F.col("_upto") + F.col("_n")).cast("int").alias("_room"))
+    joined = join_summary(hashed, cut, [group], "left")
+    below = joined.filter(F.col("_cut").isNull() | (F.col("_h") < F.col("_cut"))).select(*df.columns)
+    at_cut = joined.filter((F.col("_h") == F.col("_cut")) & (F.col("_room") > 0)).dropDuplicates([group, "_h"])
+    copies = at_cut.withColumn("_k", F.explode(F.sequence(F.lit(1), "_room"))).select(*df.columns)
+    plain_unions(df.sparkSession)
+    return below.union(copies)
 
 
 def sample_with_replacement(df: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame:

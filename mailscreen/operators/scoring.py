@@ -22,7 +22,7 @@ from mailscreen.functions.probability import (
     stable_softmax,
 )
 from mailscreen.functions.text import served_preview
-from mailscreen.session import plain_unions
+from mailscreen.session import plain_unions, sized
 
 SIGNALS = "array<struct<feature:string,contribution:double,direction:string>>"
 
@@ -83,11 +83,11 @@ def batch_summary(rows: DataFrame, source: str, label: str = "label") -> DataFra
 def contributions(weights: DataFrame, coefficients: DataFrame, id_column: str) -> DataFrame:
     """(id, feature, contribution) of a linear model; zeros are left out.
 
-    `coefficients` is (feature, coefficient), one row per feature of the model, so the
-    vocabulary caps bound what is broadcast.
+    `coefficients` is (feature, coefficient), one row per feature of the model; it is
+    broadcast if it is small enough.
     """
     return (
-        weights.join(F.broadcast(coefficients), "feature")
+        weights.join(sized(coefficients), "feature")
         .select(id_column, "feature", (F.col("weight") * F.col("coefficient")).alias("contribution"))
         .filter(F.col("contribution") != 0)
     )

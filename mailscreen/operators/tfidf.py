@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailscreen.functions.text import WORD, clean_text
-from mailscreen.session import computed, parallelism, settle, written
+from mailscreen.session import computed, parallelism, sized, written
 
 
 def default_stop_words() -> list[str]:
@@ -49,7 +49,7 @@ class TermSettings:
     """Which terms are taken from a text and which of them make the vocabulary."""
 
     analyzer: str  # "word" or "char_wb"
-    max_features: int
+    max_features: int | None = None
     min_df: int = 2
     max_df: float = 1.0
 
@@ -58,11 +58,11 @@ class TermSettings:
         return "word_tfidf__" if self.analyzer == "word" else "char_tfidf__"
 
 
-def word_settings(max_features: int = 100_000) -> TermSettings:
+def word_settings(max_features: int | None = None) -> TermSettings:
     return TermSettings("word", max_features, min_df=2, max_df=0.98)
 
 
-def char_settings(max_features: int = 80_000) -> TermSettings:
+def char_settings(max_features: int | None = None) -> TermSettings:
     return TermSettings("char_wb", max_features, min_df=2)
 
 
@@ -70,8 +70,17 @@ def term_counts(
     df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None, preprocess=clean_text
 ) -> DataFrame:
     """(id, term, tf).  `preprocess` is the text -> text Column function applied first."""
-    by_document = df.select(id_column, text).repartition(parallelism(df.sparkSession), id_column)
-    by_document = computed(by_document, _clean=preprocess(text))
+    return clean_term_counts(cleaned(df, id_column, text, preprocess), id_column, settings, stop_words)
+
+
+def cleaned(df: DataFrame, id_column: str, text: str, preprocess=clean_text) -> DataFrame:
+    """(id, _clean): the texts that terms are taken from."""
+    return computed(df.select(id_column, F.col(text).alias("_raw")), _clean=preprocess("_raw")).select(id_column, "_clean")
+
+
+def clean_term_counts(clean: DataFrame, id_column: str, settings: TermSettings, stop_words: list[str] | None = None) -> DataFrame:
+    """(id, term, tf) of texts from `cleaned`."""
+    by_document = clean.repartition(parallelism(clean.sparkSession), id_column)
     if settings.analyzer == "word":
         words = default_stop_words() if stop_words is None else stop_words
         tokens = by_document.select(id_column, word_tokens(F.col("_clean"), words).alias("_tokens"))
@@ -108,30 +117,31 @@ def most_frequent(terms: DataFrame, n: int) -> DataFrame:
 
 
 def fit_vocabulary(counts: DataFrame, documents: int, settings: TermSettings) -> DataFrame:
-    """(term, df, cf, idf), at most `max_features` rows."""
+    """(term, df, cf, idf): the terms that qualify, or the most frequent `max_features` of them."""
     terms = document_frequencies(counts).filter(
         (F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * documents)
     )
-    kept = most_frequent(written(terms, "terms"), settings.max_features)
+    kept = terms if settings.max_features is None else most_frequent(written(terms, "terms"), settings.max_features)
     idf = F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0
-    return settle(kept.withColumn("idf", idf))
+    return written(kept.withColumn("idf", idf), "vocabulary")
 
 
 def weigh(counts: DataFrame, id_column: str, vocabulary: DataFrame) -> DataFrame:
     """(id, term, weight): (1 + ln tf) * idf, each document scaled to length 1.
 
-    The vocabulary is broadcast; `max_features` bounds it.
+    The vocabulary is broadcast if it is small enough.
     """
-    known = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term")
+    known = counts.join(sized(vocabulary.select("term", "idf")), "term")
     raw = known.select(id_column, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_column)))
     return raw.select(id_column, "term", (F.col("_w") / length).alias("weight"))
 
 
 def tfidf(
-    df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None
+    df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None, preprocess=clean_text
 ) -> DataFrame:
-    """Fit the vocabulary on `df` and weigh the same rows."""
-    counts = term_counts(df, id_column, text, settings, stop_words)
-    vocabulary = fit_vocabulary(counts, df.count(), settings)
+    """Fit the vocabulary on `df` and weigh the same rows.  Texts are cleaned once, and laid out by document."""
+    clean = written(cleaned(df, id_column, text, preprocess), "clean")
+    counts = clean_term_counts(clean, id_column, settings, stop_words)
+    vocabulary = fit_vocabulary(counts, clean.count(), settings)
     return weigh(counts, id_column, vocabulary)

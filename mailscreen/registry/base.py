@@ -50,11 +50,11 @@ def mail(spark: SparkSession, folder: str) -> DataFrame:
     return finalize(labelled(spark, folder), F.col("source"), "doc_id", "text", "toxic", extra=("doc_id",))
 
 
-def rule_scores(df: DataFrame, text: str = "text", digits: int | None = 6) -> DataFrame:
+def rule_scores(df: DataFrame, text: str = "text", digits: int | None = 6, logit: str | None = None) -> DataFrame:
     """A fixed scoring rule, so that everything behind a score has an exact answer.
 
     Not a product model.  Keeps all columns.  `digits=None` leaves the score unrounded,
-    for queries that round it again.
+    for queries that round it again; `logit` names a column for the score's logit.
     """
     keep = df.columns
     used = ("uppercase_ratio", "digit_ratio", "exclamation_count", "currency_count")
@@ -68,7 +68,8 @@ def rule_scores(df: DataFrame, text: str = "text", digits: int | None = 6) -> Da
         + F.col("currency_count") * 40.0 / length
     )
     p = 1.0 / (1.0 + F.exp(-z))
-    return stats.select(*keep, (p if digits is None else F.round(p, digits)).alias("spam_probability"))
+    extra = [z.alias(logit)] if logit else []
+    return stats.select(*keep, (p if digits is None else F.round(p, digits)).alias("spam_probability"), *extra)
 
 
 def scored_mail(spark: SparkSession, folder: str, digits: int | None = 6) -> DataFrame:

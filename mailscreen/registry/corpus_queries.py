@@ -62,8 +62,7 @@ def corpus_union(spark, folder):
 )
 def dedupe_first(spark, folder):
     rows = table(spark, folder, "documents")
-    key = ops.dedupe_hash("text")
-    return ops.keep_first(rows.select("doc_id", "source", "lang", key.alias("key")), ["doc_id"], key=F.col("key")).select("doc_id", "source", "lang")
+    return ops.keep_first(rows, ["doc_id"], key=ops.dedupe_hash("text")).select("doc_id", "source", "lang")
 
 
 @query(
@@ -160,7 +159,7 @@ def length_stats(spark, folder):
         FROM (SELECT label, count(*) AS n FROM mail GROUP BY label)""",
 )
 def class_weights(spark, folder):
-    return ops.class_weights(mail(spark, folder)).withColumn("weight", F.round("weight", 6))
+    return ops.class_weights(mail(spark, folder)).select("label", F.round("weight", 6).alias("weight"))
 
 
 @query("filter_label_source", f"WITH {sql.MAIL} SELECT {MAIL_OUT} FROM mail WHERE label = 1 AND source <> 'src7' OR source = 'src5'")

@@ -83,13 +83,16 @@ def stats(e: str) -> dict[str, str]:
     }
 
 
-def rule_probability(e: str, digits: int | None = 6) -> str:
+def rule_logit(e: str) -> str:
     s = stats(e)
-    z = (
+    return (
         f"(-3.0::DOUBLE + {s['uppercase_ratio']} * 30.0::DOUBLE + {s['digit_ratio']} * 20.0::DOUBLE + {s['exclamation_count']} * 0.05::DOUBLE"
         f" + {s['currency_count']} * 40.0::DOUBLE / greatest(length({e}), 1))"
     )
-    p = f"1.0::DOUBLE / (1.0::DOUBLE + exp(-{z}))"
+
+
+def rule_probability(e: str, digits: int | None = 6) -> str:
+    p = f"1.0::DOUBLE / (1.0::DOUBLE + exp(-{rule_logit(e)}))"
     return p if digits is None else f"round({p}, {digits})"
 
 
@@ -151,12 +154,12 @@ def char_counts(source: str, text: str, out: str = "tf", key: str = "doc_id") ->
   GROUP BY ALL)"""
 
 
-def vocabulary(counts: str, source: str, cap: int, max_df: float, out: str = "voc") -> str:
+def vocabulary(counts: str, source: str, cap: int | None, max_df: float, out: str = "voc") -> str:
     return f"""
 {out} AS (SELECT term, df, cf, ln((1.0::DOUBLE + (SELECT count(*) FROM {source})) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf
   FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {counts} GROUP BY term)
   WHERE df >= 2 AND df <= {max_df}::DOUBLE * (SELECT count(*) FROM {source})
-  ORDER BY cf DESC, term LIMIT {cap})"""
+  {f'ORDER BY cf DESC, term LIMIT {cap}' if cap else ''})"""
 
 
 def weights(counts: str, voc: str, out: str = "tfidf", key: str = "doc_id") -> str:

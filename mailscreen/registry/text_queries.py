@@ -8,7 +8,7 @@ from mailscreen.functions import probability as prob
 from mailscreen.functions import text as tx
 from mailscreen.functions.stats import with_email_stats
 from mailscreen.registry import sql
-from mailscreen.registry.base import query, scored_mail, table
+from mailscreen.registry.base import mail, query, rule_scores, scored_mail, table
 
 
 @query("strip_html", f"SELECT page_id, {sql.strip_html('html')} AS text FROM pages")
@@ -99,13 +99,13 @@ def stable_softmax(spark, folder):
 
 @query(
     "decision_score",
-    f"""WITH {sql.SCORED} SELECT doc_id, round(p * 2 - 1, 6) AS centred_score,
-          round(ln(p / (1 - p)) - 0.0::DOUBLE, 6) AS logit_score FROM scored WHERE p > 0 AND p < 1""",
+    f"""WITH {sql.MAIL} SELECT doc_id, round({sql.rule_probability('text', None)} * 2 - 1, 6) AS centred_score,
+          round({sql.rule_logit('text')}, 6) AS logit_score FROM mail""",
 )
 def decision_score(spark, folder):
     p = F.col("spam_probability")
-    rows = scored_mail(spark, folder).filter((p > 0) & (p < 1))
-    logit = prob.logit_difference(F.lit(0.0), F.log(p / (1.0 - p)))
+    rows = rule_scores(mail(spark, folder), digits=None, logit="z")
+    logit = prob.logit_difference(F.lit(0.0), F.col("z"))
     return rows.select("doc_id", F.round(prob.centred_score(p), 6).alias("centred_score"), F.round(logit, 6).alias("logit_score"))
 
 

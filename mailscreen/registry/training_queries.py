@@ -17,7 +17,7 @@ from mailscreen.registry.base import query, table
 from mailscreen.registry.corpus_queries import split_mail
 from mailscreen.session import scratch_path, written
 
-CONFIG = ScreeningConfig(max_iterations=50)
+CONFIG = ScreeningConfig()
 
 
 def corpus(spark, folder) -> Corpus:

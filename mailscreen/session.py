@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a table may have before it is no longer broadcast.  At the ~100 bytes a row
-# of the summary tables this library broadcasts, that is about 20 MB per executor.
-BROADCAST_ROWS = 200_000
+# Bytes a table may take in memory and still be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "mailscreen", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,13 +32,21 @@ def build_session(app: str = "mailscreen", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Only a session that names none (tests, a laptop) gets a temporary one.
+    Where a session names none, a local one gets a temporary folder and a cluster a folder
+    under the warehouse; a cluster whose warehouse is on a local disk is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="mailscreen-")
+        if current.isDefined():
+            folder = current.get()
+        elif context.master.startswith("local[") or context.master == "local":
+            folder = tempfile.mkdtemp(prefix="mailscreen-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+            if folder.startswith(("file:", "/")):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -110,14 +117,23 @@ def plain_unions(spark: SparkSession) -> None:
 def join_summary(big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a large table with a summary of it.
 
-    The summary is settled and counted.  Up to BROADCAST_ROWS rows it is broadcast, so
-    the large side does not move at all; beyond that the join is left to Spark, which
-    shuffles both sides and splits skewed partitions (AQE).
+    The summary is written and measured.  Up to BROADCAST_BYTES it is broadcast, so the
+    large side does not move at all; beyond that the join is left to Spark, which shuffles
+    both sides and splits skewed partitions (AQE).
     """
-    small = settle(summary)
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(sized(written(summary, "summary")), on, how)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it is small enough.  It is scanned for that, so hand over a stored table."""
+    return F.broadcast(df) if memory_bytes(df) <= BROADCAST_BYTES else df
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """About what the rows take in a hash table: 40 bytes a row, 16 a column, and all text."""
+    text = [F.octet_length(F.col(c).cast("string")) for c, kind in df.dtypes if kind.startswith(("string", "array", "map", "struct", "binary"))]
+    longer = sum((F.coalesce(t, F.lit(0)) for t in text), F.lit(0)) + (40 + 16 * len(df.columns))
+    return df.agg(F.coalesce(F.sum(longer.cast("bigint")), F.lit(0))).first()[0]
 
 
 def seeded_hash(seed: int, *columns: str | Column) -> Column:

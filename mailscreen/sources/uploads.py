@@ -16,7 +16,6 @@ TEXT_COLUMNS = ("text", "email", "message", "content", "body")
 JSON_LISTS = ("texts", "emails", "messages")
 
 # What counts as readable text.
-SAMPLE_LENGTH = 4096
 PRINTABLE_SHARE = 0.85
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1f]"
 UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\r\t]]"
@@ -36,13 +35,9 @@ def _upper_half(encoding: str) -> tuple[str, str, str]:
 
 
 def _readable(text: Column) -> Column:
-    sample = F.substring(text, 1, SAMPLE_LENGTH)
-    odd = F.length(sample) - F.length(F.regexp_replace(sample, UNPRINTABLE, ""))
-    return (
-        (F.length(sample) > 0)
-        & ~sample.rlike(CONTROL)
-        & ((F.length(sample) - odd) >= F.length(sample) * PRINTABLE_SHARE)
-    )
+    """The whole text counts, wherever in it the odd characters are."""
+    printable = F.length(F.regexp_replace(text, UNPRINTABLE, ""))
+    return (F.length(text) > 0) & ~text.rlike(CONTROL) & (printable >= F.length(text) * PRINTABLE_SHARE)
 
 
 def with_decoded(df: DataFrame, content: str = "content") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from mailscreen.operators.batch import BLANK, OK, check_texts
+from mailscreen.session import plain_unions
 
 
 def stream_files(spark: SparkSession, folder: str, schema: StructType, file_format: str = "json", max_files: int = 1000) -> DataFrame:
@@ -20,15 +21,29 @@ def stream_files(spark: SparkSession, folder: str, schema: StructType, file_form
 
 
 def score_stream(
-    texts: DataFrame, scorer: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, text: str = "text", continuous: bool = False
+    texts: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    output: str,
+    checkpoint: str,
+    text: str = "text",
+    max_length: int | None = None,
+    continuous: bool = False,
 ) -> StreamingQuery:
-    """Check, score and append to parquet.  Stateless, so any micro-batch cut gives the same rows.
+    """Check, score and write to `output/batch=<n>`, one folder per micro-batch.
 
-    Rejected rows are written too, unscored, with their status.  Blank rows are dropped.
+    The scorer gets each micro-batch as an ordinary table, so a fitted model serves as well
+    as a Column rule.  A batch that is run again after a failure overwrites its own folder.
+    Blank rows are dropped; with a `max_length`, longer rows are written unscored, with
+    their status.
     """
-    checked = check_texts(texts, text).filter(F.col("status") != BLANK)
-    scored = scorer(checked)
-    added = [c for c in scored.columns if c not in checked.columns]
-    scored = scored.withColumns({c: F.when(F.col("status") == OK, F.col(c)) for c in added})
-    writer = scored.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append")
+
+    def score(rows: DataFrame, number: int) -> None:
+        plain_unions(rows.sparkSession)
+        checked = check_texts(rows, text, max_length).filter(F.col("status") != BLANK)
+        scored = scorer(checked)
+        added = [c for c in scored.columns if c not in checked.columns]
+        scored = scored.withColumns({c: F.when(F.col("status") == OK, F.col(c)) for c in added})
+        scored.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = texts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(score)
     return (writer if continuous else writer.trigger(availableNow=True)).start()

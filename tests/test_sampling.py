@@ -96,11 +96,19 @@ def test_cap_per_group_is_a_ranking_by_hash(rows, cap):
 def test_cap_without_broadcast(rows, monkeypatch):
     from mailscreen import session
 
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     _, df = rows
     assert ops.cap_per_group(df, "source", 50, ["id"]).count() == 150
 
 
+def test_cap_is_exact_for_equal_and_null_ids(spark):
+    data = [(None, "a")] * 50 + [(None, f"b{i}") for i in range(5)] + [(7, "c")] * 3
+    df = spark.createDataFrame([(i, t, "s") for i, t in data], "id long, text string, source string")
+    for cap in (1, 2, 40, 57, 58, 100):
+        assert ops.cap_per_group(df, "source", cap, ["id"]).count() == min(cap, 58)
+    assert ops.cap_per_group(df, "source", None, ["id"]).count() == 58
+
+
 def test_sample_rows(rows):
     data, df = rows
     got = [r["id"] for r in ops.sample_rows(df, 10, ["id"]).collect()]

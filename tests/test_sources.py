@@ -168,3 +168,16 @@ def test_batch_checks(texts):
             batch.validate(batch.check_texts(texts(values), max_length=10), "strict", max_rows=2)
         assert info.value.code == code
     assert batch.validate(batch.check_texts(texts(["a"])), "strict").count() == 1
+
+
+def test_columns_go_by_name_and_labels_may_be_floats(spark, tmp_path):
+    path = str(tmp_path / "k.csv")
+    write(tmp_path / "k.csv", b"text,label_num,label\nhello there,1.0,spam\nhi,0.0,ham\nodd,0.5,ham\n")
+    rows = {(r["text"], r["label"], r["email_id"]) for r in labelled_csv.read_kaggle(spark, path).collect()}
+    assert rows == {("hello there", 1, ""), ("hi", 0, "")}
+    write(tmp_path / "e.csv", b"label,text,message_id\n1.0,body,m1\n 0 ,other,m2\n")
+    rows = {(r["text"], r["label"], r["email_id"]) for r in labelled_csv.read_enron(spark, str(tmp_path / "e.csv")).collect()}
+    assert rows == {("body", 1, "m1"), ("other", 0, "m2")}
+    write(tmp_path / "x.csv", b"text,message_id\nbody,m1\n")
+    with pytest.raises(ValueError, match="label"):
+        labelled_csv.read_enron(spark, str(tmp_path / "x.csv"))

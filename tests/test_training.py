@@ -5,14 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mailscreen.config import ScreeningConfig
+from mailscreen.config import FitOptions, ScreeningConfig, TermOptions
 from mailscreen.operators.corpus import finalize
 from mailscreen.operators.metrics import roc_auc
 from mailscreen.plans import model as models
 from mailscreen.plans import train as plans
 from mailscreen.plans.prepare import prepare_corpus
 
-CONFIG = ScreeningConfig(max_iterations=30, max_word_features=300, max_char_features=300)
+CONFIG = ScreeningConfig(terms=TermOptions(300, 300), fit=FitOptions(max_iterations=30))
 SPAM_WORDS, HAM_WORDS = ["prize", "winner", "free", "click"], ["meeting", "project", "report", "lunch"]
 NEUTRAL = ["monday", "table", "river", "window", "paper", "green", "seven", "music", "water", "stone"]
 
