@@ -92,14 +92,14 @@ def _let(value: Column, body) -> Column:
 
 
 def base_columns(docs: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, _words."""
-    worded = computed(docs, _words=words_of(F.col(text)))
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, _words, _rare."""
+    worded = computed(docs, _words=words_of(F.col(text)), _rare=rare_characters(F.col(text)))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = computed(
         worded,
         n_words=F.size("_words").cast("bigint"),
         word_chars=F.length(F.array_join("_words", "")).cast("bigint"),
-        n_symbols=F.coalesce(F.regexp_count(F.col(text), F.lit(SYMBOLS)), F.lit(0)).cast("bigint"),
+        n_symbols=F.regexp_count("_rare", F.lit(SYMBOLS)).cast("bigint"),
         n_dup_lines=_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
         n_repeat_words=repeated_words(F.col("_words")).cast("bigint"),
     )
@@ -107,11 +107,15 @@ def base_columns(docs: DataFrame, limits: QualityLimits = QualityLimits(), text:
     return counted.withColumn("base_failed", failed)
 
 
-def class_counts(text: Column, n_space: Column, n_symbols: Column) -> Column:
+def rare_characters(text: Column) -> Column:
+    """A text without lower-case letters and white space: what is left is short and scanned cheaply."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[a-z\x20\x09-\x0D\p{Ll}]+", "")
+
+
+def class_counts(length: Column, n_space: Column, rare: Column, n_symbols: Column) -> Column:
     """Characters per class: lower, upper, digit, closing mark, space, symbol, other."""
-    lower = F.length(text) - F.length(F.regexp_replace(text, r"\p{Ll}+", ""))
-    few = [F.regexp_count(text, F.lit(pattern)) for pattern in (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?]")]
-    counts = F.array(lower, *few, n_space, n_symbols, F.length(text)).cast("array<bigint>")
+    few = [F.regexp_count(rare, F.lit(pattern)) for pattern in (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?]")]
+    counts = F.array(length - n_space - F.length(rare), *few, n_space, n_symbols, length).cast("array<bigint>")
     return _let(counts, lambda c: F.transform(c, lambda x, i: F.when(i < 6, x).otherwise(2 * x - _total(c))))
 
 
@@ -138,8 +142,9 @@ def language_references(docs: DataFrame, limits: QualityLimits = QualityLimits()
     worded = computed(docs.select(language_key(F.col(lang)).alias("_lang"), F.col(text).alias("text")), _words=words_of(F.col("text")))
     judged = worded.where(F.size("_words") >= limits.min_words)
     spaces = F.length("text") - F.length(F.array_join("_words", ""))
-    symbols = F.regexp_count(F.col("text"), F.lit(SYMBOLS))
-    classes = computed(judged, _c=class_counts(F.col("text"), spaces, symbols)).groupBy("_lang")
+    scanned = computed(judged.withColumn("_spaces", spaces), _rare=rare_characters(F.col("text")))
+    symbols = F.regexp_count(F.col("_rare"), F.lit(SYMBOLS))
+    classes = computed(scanned, _c=class_counts(F.length("text"), F.col("_spaces"), F.col("_rare"), symbols)).groupBy("_lang")
     classes = written(classes.agg(F.array(*[F.sum(F.col("_c")[i]) for i in range(CLASSES)]).alias("class_counts")), "class-counts")
     words = judged.select("_lang", F.explode("_words").alias("word"))
     counts = written(words.groupBy("_lang", "word").agg(F.count("*").alias("n")), "word-counts")
@@ -181,7 +186,7 @@ def common_counts(words: Column, common: Column, most: int) -> Column:
 def judge_quality(docs: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with the base columns, class_distance, word_distance and kept."""
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    plain = docs.drop(*results, "_words", "_lang", "class_ref", "common", "word_ref")
+    plain = docs.drop(*results, "_words", "_rare", "_lang", "class_ref", "common", "word_ref")
     references = language_references(plain, limits, text, lang)
     based = base_columns(plain, limits, text).withColumn("_lang", language_key(F.col(lang)))
     joined = join_summary(based, references, ["_lang"], "left")
@@ -189,7 +194,7 @@ def judge_quality(docs: DataFrame, limits: QualityLimits = QualityLimits(), text
     spaces = F.length(text) - F.col("word_chars")
     histograms = computed(
         joined,
-        _classes=F.when(judged, shares(class_counts(F.col(text), spaces, F.col("n_symbols")))),
+        _classes=F.when(judged, shares(class_counts(F.length(text), spaces, F.col("_rare"), F.col("n_symbols")))),
         _common=F.when(judged, shares(common_counts(F.col("_words"), F.col("common"), limits.common_words))),
     )
     measured = computed(
