@@ -8,7 +8,7 @@
 3. multi-index  Item fingerprints are cut into 4 blocks of 16 bits.  Two fingerprints that
                 differ in at most `radius` (11) bits differ in at most 2 bits of some block,
                 so the index holds every block with up to 2 bits flipped (137 keys), and each
-                window looks up its 4 blocks as they are: no fingerprint within the radius is
+                window looks up its 4 blocks among items of its length: no fingerprint within the radius is
                 missed.  Candidates are pairs within the radius.
 4. verify       Weighted Jaccard of the shingle multisets, at least `threshold`.  A shingle
                 weighs 1 / (items that contain it), so text shared by many items counts less.
@@ -131,15 +131,15 @@ def find_passages(docs: DataFrame, items: DataFrame, settings: MatchSettings = M
     cut = computed(matched, words=words_of(F.col("_t"))).select("doc_id", "words", F.explode("windows").alias("w"))
     # A window that would begin before the text or end after it is moved inside.
     start = F.greatest(F.lit(0), F.least(F.col("w.start"), F.size("words") - F.col("w.size")))
-    windows = cut.select("doc_id", start.alias("start_word"), F.slice("words", start + 1, F.col("w.size")).alias("words")).distinct()
+    windows = cut.select("doc_id", "w.size", start.alias("start_word"), F.slice("words", start + 1, F.col("w.size")).alias("words")).distinct()
     printed = written(windows.withColumn("print", simhash(F.col("words"))), "fingerprints")
 
-    index = known.select("item_id", F.col("size").alias("item_size"), F.col("fingerprint"), F.explode(blocks_of(F.col("fingerprint"))).alias("b"))
+    index = known.select("item_id", "size", "fingerprint", F.explode(blocks_of(F.col("fingerprint"))).alias("b"))
     flipped = F.explode(F.array(*[F.lit(m) for m in flips(settings.radius)]))
-    index = index.select("item_id", "fingerprint", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"), flipped.alias("flip"))
-    index = index.select("item_id", "fingerprint", "block", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    looked = printed.select("doc_id", "start_word", "words", "print", F.explode(blocks_of(F.col("print"))).alias("b")).select("*", "b.block", "b.bits")
-    near = join_summary(looked, index, ["block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))))
+    index = index.select("item_id", "size", "fingerprint", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"), flipped.alias("flip"))
+    index = index.select("item_id", "size", "fingerprint", "block", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    looked = printed.select("doc_id", "size", "start_word", "words", "print", F.explode(blocks_of(F.col("print"))).alias("b")).select("*", "b.block", "b.bits")
+    near = join_summary(looked, index, ["size", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))))
     found = near.where(F.col("hamming") <= settings.radius).select("doc_id", "start_word", "words", "item_id", "hamming").distinct()
     return _verified(found, known, settings)
 

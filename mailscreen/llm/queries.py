@@ -134,8 +134,8 @@ def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     item_count AS (SELECT item_id, s, count(*) AS n FROM item_run GROUP BY ALL),
     item_sum AS (SELECT item_id, sum(n * weight) AS total FROM item_count JOIN weight USING (s) GROUP BY ALL),
     shared AS (
-      SELECT doc_id, size, start_word, item_id, sum(least(r.n, c.n) * weight) AS common
-      FROM window_run r JOIN item_count c USING (s) JOIN weight USING (s) GROUP BY ALL),
+      SELECT r.doc_id, r.size, r.start_word, c.item_id, sum(least(r.n, c.n) * weight) AS common
+      FROM window_run r JOIN item_count c USING (s) JOIN weight USING (s) JOIN item i ON i.item_id = c.item_id AND i.size = r.size GROUP BY ALL),
     alike AS (
       SELECT doc_id, start_word, shared.item_id, round(common / (a.total + b.total - common), 9) AS similarity
       FROM shared JOIN window_sum a USING (doc_id, size, start_word) JOIN item_sum b USING (item_id))
