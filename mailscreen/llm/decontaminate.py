@@ -4,12 +4,13 @@
                 shingle in common, so windows are laid where a shingle of the document is one
                 of an item's, with the shingle at the same place in both; a window without
                 any shared shingle has similarity 0 with everything and needs no fingerprint.
-2. fingerprint  64-bit SimHash over the window's words, weighted by their length.
-3. multi-index  Item fingerprints are cut into 4 blocks of 16 bits.  Two fingerprints that
-                differ in at most `radius` (11) bits differ in at most 2 bits of some block,
-                so the index holds every block with up to 2 bits flipped (137 keys), and each
-                window looks up its 4 blocks among items of its length: no fingerprint within the radius is
-                missed.  Candidates are pairs within the radius.
+2. fingerprint  64-bit SimHash over the window's words.
+3. multi-index  Item fingerprints are cut into 8 blocks of 8 bits.  Two fingerprints that
+                differ in at most `radius` (23) bits differ in at most 2 bits of some block,
+                so the index holds every block with up to 2 bits flipped (37 keys), and each
+                window looks up its 8 blocks among items of its length: no fingerprint within the radius is
+                missed.  Candidates are pairs within the radius: a pair that passes step 4
+                differs in two words of 25 at most, which is 8 bits, give or take 3.
 4. verify       Weighted Jaccard of the shingle multisets, at least `threshold`.  A shingle
                 weighs 1 / (items that contain it), so text shared by many items counts less.
 
@@ -34,14 +35,14 @@ from pyspark.sql import functions as F
 from mailscreen.session import computed, join_summary, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS, BLOCK_BITS = 8, 8
 
 
 @dataclass(frozen=True)
 class MatchSettings:
     width: int = 5
     threshold: float = 0.75
-    radius: int = 11
+    radius: int = 23
 
 
 def words_of(text: Column) -> Column:
@@ -67,13 +68,13 @@ def run_hashes(words: Column, width: int) -> Column:
 
 
 def simhash(words: Column) -> Column:
-    """64 bits: bit i is set if the words whose hash has bit i weigh more than the others."""
-    hashed = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("n")))
+    """64 bits: bit i is set if more words have it in their hash than have not."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def vote(items: Column) -> Column:
         bits = F.transform(
             F.sequence(F.lit(0), F.lit(63)),
-            lambda i: F.aggregate(items, F.lit(0), lambda a, x: a + F.when(F.getbit(x["h"], i) == 1, x["n"]).otherwise(-x["n"])),
+            lambda i: F.aggregate(items, F.lit(0), lambda a, x: a + F.when(F.getbit(x, i) == 1, 1).otherwise(-1)),
         )
         one = F.lit(1).cast("bigint")
         return F.aggregate(bits, F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).alias("i")), lambda a, b: F.struct(
@@ -90,7 +91,7 @@ def blocks_of(fingerprint: Column) -> Column:
 
 
 def flips(radius: int) -> list[int]:
-    """Masks of up to radius // BLOCKS bits: one block of four differs by no more."""
+    """Masks of up to radius // BLOCKS bits: some block differs by no more."""
     return [sum(1 << i for i in bits) for k in range(radius // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), k)]
 
 
