@@ -12,10 +12,11 @@
 4. confirm     100 |A and B| >= threshold |A or B| on the full shingle sets.
 5. components  Smallest reachable id over the confirmed links.
 
-A band's bucket can hold very many classes.  Its pairs are not written out: each round links
-the members to one pivot; what belongs together then has one component, and only pairs of
-different components are still open.  After `pivot_rounds` all open pairs are compared by
-their sketches inside a join, so that no link which decides a component is lost.
+A band's bucket can hold very many classes.  Its pairs are not written out: in each round a
+bucket has one pivot, and every member is confirmed against the closest of its pivots; what
+belongs together then has one component, and only pairs of different components are still
+open.  After `pivot_rounds` all open pairs are compared, sketches first and then full sets,
+inside a join that gives nothing but links, so no link which decides a component is lost.
 
 Shingles are 64-bit hashes of five words (A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`).
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm.graph import components
 from mailscreen.llm.words import mix, shingle_sets
-from mailscreen.session import settle, written
+from mailscreen.session import written
 
 SKETCH_WORDS = 16
 
@@ -50,7 +51,7 @@ class NearDupSettings:
     rows: int = 4
     samples: int = 256
     min_estimate: float = 0.65
-    pivot_rounds: int = 4
+    pivot_rounds: int = 3
 
 
 def min_samples(hashes: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -133,9 +134,29 @@ class _Links:
         possible = F.least(*sizes) * 100 >= F.greatest(*sizes) * self.settings.threshold
         return possible & (estimate(self.settings.samples, *columns) >= self.settings.min_estimate)
 
-    def screened(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose sketches are alike."""
-        return pairs.distinct().join(self.side("a", "a_"), "a").join(self.side("b", "b_"), "b").where(self.likely("a_", "b_")).select("a", "b")
+    def closest(self, pairs: DataFrame) -> DataFrame:
+        """For each a the b whose sketch is most like its own, if that is enough."""
+        both = pairs.distinct().join(self.side("a", "a_"), "a").join(self.side("b", "b_"), "b").where(self.likely("a_", "b_"))
+        likeness = estimate(self.settings.samples, *([F.col(p + n) for n in self.names] for p in ("a_", "b_")))
+        best = both.groupBy("a").agg(F.max(F.struct(likeness.alias("j"), F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def across(self, open_: DataFrame) -> DataFrame:
+        """The links between different components that meet in a bucket.
+
+        Sketch and full sets are compared inside the join, so only links come out of it, and
+        a pair that shares several bands is compared in the first of them only.
+        """
+        bands = [f"b{i}" for i in range(self.settings.bands)]
+        fat = open_.join(self.sketches, "node").join(self.sets, "node")
+        carried = ["node", "component", "n_shingles", "shingles", *bands, *self.names]
+        left, right = (fat.select("bucket", *[F.col(c).alias(p + c) for c in carried]) for p in ("a_", "b_"))
+        first = F.coalesce(*[F.when(F.col("a_" + b) == F.col("b_" + b), F.col("a_" + b)) for b in bands])
+        both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        alike = both * 100 >= self.settings.threshold * (F.col("a_n_shingles") + F.col("b_n_shingles") - both)
+        apart = (left["bucket"] == right["bucket"]) & (F.col("a_component") < F.col("b_component")) & (first == left["bucket"])
+        found = left.join(right, apart & self.likely("a_", "b_") & alike)
+        return written(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), "links")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
@@ -161,10 +182,10 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     held = written(members.select("node").distinct(), "members")
     rows = docs.join(held, F.col(doc_id) == F.col("node"), "left_semi")
     sets = written(shingles(rows, settings, doc_id, text).dropDuplicates(["node"]), "shingles")
-    confirm = _Links(nodes.select("node", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]), sets, settings)
+    confirm = _Links(nodes.select("node", "n_shingles", *carried), sets, settings)
 
     links = _links(members, confirm, settings)
-    found = settle(components(links))
+    found = written(components(links), "components")
     classed = classes.select("k1", "k2", F.col("n_shingles").alias("_n"), F.col("node").alias("class_id"))
     same = (signed["k1"] == classed["k1"]) & (signed["k2"] == classed["k2"]) & (signed["n_shingles"] == classed["_n"])
     told = signed.select("doc_id", "n_shingles", "k1", "k2").join(classed, same, "left").select("doc_id", "n_shingles", "class_id")
@@ -181,16 +202,11 @@ def _links(members: DataFrame, confirm: _Links, settings: NearDupSettings) -> Da
     for number in range(settings.pivot_rounds):
         chosen = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("pivot"), F.col("component").alias("top")))
         pivots = open_.groupBy("bucket").agg(chosen.alias("p")).select("bucket", "p.pivot", "p.top")
-        pairs = open_.join(pivots, "bucket").where("component <> top").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        new = confirm.confirmed(confirm.screened(pairs))
+        pairs = open_.join(pivots, "bucket").where("component <> top").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        new = confirm.confirmed(confirm.closest(pairs))
         links = new if links is None else written(links.union(new), "links")
         open_ = _still_open(members, components(links))
-    names = ["n_shingles", *confirm.names]
-    left = open_.join(confirm.side("node", "a_"), "node").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), *[f"a_{n}" for n in names])
-    right = left.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"), *[F.col(f"a_{n}").alias(f"b_{n}") for n in names])
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") < F.col("cb")) & confirm.likely("a_", "b_"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.union(confirm.confirmed(rest))
+    return links.union(confirm.across(open_))
 
 
 def _still_open(members: DataFrame, found: DataFrame) -> DataFrame:
