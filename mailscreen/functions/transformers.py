@@ -23,6 +23,12 @@ class TextCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(inputCol=inputCol, outputCol=outputCol)
         self.preprocess = preprocess
 
+    def write(self):
+        """Only the standard cleaning can be saved: another function would be lost on loading."""
+        if self.preprocess is not clean_text:
+            raise ValueError("a TextCleaner with its own preprocess cannot be saved")
+        return super().write()
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return dataset.withColumn(self.getOutputCol(), self.preprocess(self.getInputCol()))
 

@@ -104,7 +104,8 @@ def roc_auc(df: DataFrame, score: str = "spam_probability", buckets: int = AUC_B
     a running sum over its distinct scores, pairs across ranges from the range totals,
     so no task ever holds the whole score order.
     """
-    value = F.col(score).cast("double")
+    given = F.col(score).cast("double")
+    value = F.when(given.isNotNull() & ~F.isnan(given), given).otherwise(F.raise_error(F.lit(f"{score}: NULL or NaN has no place in a ranking")).cast("double"))
     rows = df.select(value.alias("s"), (F.col("label") == 1).cast("long").alias("pos"))
     fractions = [i / buckets for i in range(1, buckets)]
     points = rows.agg(F.percentile_approx("s", F.array(*map(F.lit, fractions)), F.lit(buckets * 20))).first()[0] or []

@@ -22,6 +22,7 @@ from mailscreen.functions.probability import (
     stable_softmax,
 )
 from mailscreen.functions.text import served_preview
+from mailscreen.operators.batch import BLANK
 from mailscreen.session import plain_unions, sized
 
 SIGNALS = "array<struct<feature:string,contribution:double,direction:string>>"
@@ -53,8 +54,8 @@ def prediction_columns(scored: DataFrame, model_name: str | None = None) -> Data
     )
 
 
-def served_rows(predicted: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Rows as delivered: numbers at four decimals, preview, nested scores."""
+def served_rows(predicted: DataFrame, keep: list[str], text: str = "text", model_source: str | None = None) -> DataFrame:
+    """Rows as delivered: numbers at four decimals, preview, nested scores, and where the model is from."""
     spam, ham = display_number(F.col("spam_probability")), display_number(F.col("ham_probability"))
     return predicted.select(
         *keep,
@@ -69,9 +70,17 @@ def served_rows(predicted: DataFrame, keep: list[str], text: str = "text") -> Da
         F.struct(spam.alias("spam"), ham.alias("ham")).alias("scores"),
         "top_signals",
         "model_name",
+        F.lit(model_source).cast("string").alias("model_source"),
     )
 
 
+def with_warnings(summary: DataFrame, checked: DataFrame) -> DataFrame:
+    """A batch summary with `warnings`: one line on the blank rows that `check_texts` found, if any."""
+    blank = checked.agg(F.coalesce(F.sum((F.col("status") == BLANK).cast("long")), F.lit(0)).alias("_blank"))
+    line = F.when(F.col("_blank") > 0, F.array(F.format_string("%d blank rows were left out.", "_blank"))).otherwise(F.array().cast("array<string>"))
+    return summary.withColumn("_one", F.lit(1)).join(blank.withColumn("_one", F.lit(1)), "_one").withColumn("warnings", line).drop("_one", "_blank")
+
+
 def batch_summary(rows: DataFrame, source: str, label: str = "label") -> DataFrame:
     return rows.agg(
         F.count("*").alias("total"),

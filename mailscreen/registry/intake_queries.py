@@ -208,17 +208,18 @@ def batch_status(spark, folder):
 
 def served(spark, folder):
     rows = prediction_columns(scored_mail(spark, folder, digits=None), "rule")
-    return served_rows(rows, ["doc_id"])
+    return served_rows(rows, ["doc_id"], model_source="rules")
 
 
 @query(
     "score_batch",
     f"""WITH {sql.SCORED_UNROUNDED} SELECT doc_id, text, CASE WHEN length(text) > 140 THEN substring(text, 1, 139) || '...' ELSE text END AS text_preview,
           CASE WHEN prediction = 1 THEN 'spam' ELSE 'ham' END AS label, prediction AS label_id, round_even(confidence, 4) AS confidence,
-          round_even(p * 2 - 1, 4) AS decision_score, round_even(p, 4) AS spam_probability, round_even(1 - p, 4) AS ham_probability, 'rule' AS model_name FROM scored""",
+          round_even(p * 2 - 1, 4) AS decision_score, round_even(p, 4) AS spam_probability, round_even(1 - p, 4) AS ham_probability, 'rule' AS model_name, 'rules' AS model_source,
+          to_json({{'spam': round_even(p, 4), 'ham': round_even(1 - p, 4)}}) AS scores, '[]' AS top_signals FROM scored""",
 )
 def score_batch(spark, folder):
-    return served(spark, folder).drop("scores", "top_signals")
+    return served(spark, folder).withColumns({c: F.to_json(c) for c in ("scores", "top_signals")})
 
 
 @query(

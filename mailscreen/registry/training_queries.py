@@ -1,4 +1,7 @@
-"""Training and model queries; their results depend on iterative fits, so they have no SQL."""
+"""Training and model queries.
+
+What an iterative fit finds has no SQL; ids, labels and what must hold of every prediction have.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from mailscreen.plans import train as plans
 from mailscreen.plans.prepare import Corpus
 from mailscreen.operators.corpus import dataset_summary
 from mailscreen.registry.base import query, table
-from mailscreen.registry.corpus_queries import split_mail
+from mailscreen.registry.corpus_queries import SPLIT, split_mail
 from mailscreen.session import scratch_path, written
 
 CONFIG = ScreeningConfig()
@@ -38,16 +41,25 @@ def _one_row(spark, name, metrics):
     return spark.createDataFrame([(name, *values)], schema)
 
 
-@query("train_logistic")
+_VALIDATION = f"WITH {SPLIT} SELECT doc_id, label, true AS probable, true AS consistent FROM parted WHERE split = 'validation'"
+
+
+def _sound(scored):
+    """Every validation row, and whether its prediction is what its probability says."""
+    p = F.col("spam_probability")
+    return scored.select("doc_id", "label", p.between(0.0, 1.0).alias("probable"), (F.col("prediction") == (p > 0.5).cast("int")).alias("consistent"))
+
+
+@query("train_logistic", _VALIDATION)
 def train_logistic(spark, folder):
     _, (train, validation) = _vectors(spark, folder, "train", "validation")
-    return models.fit_logistic_classifier(train, CONFIG).score(validation).drop("features")
+    return _sound(models.fit_logistic_classifier(train, CONFIG).score(validation))
 
 
-@query("train_svc_calibrated")
+@query("train_svc_calibrated", _VALIDATION)
 def train_svc_calibrated(spark, folder):
     _, (train, validation) = _vectors(spark, folder, "train", "validation")
-    return models.fit_calibrated_svc(train, "doc_id", CONFIG).score(validation).drop("features")
+    return _sound(models.fit_calibrated_svc(train, "doc_id", CONFIG).score(validation))
 
 
 @query("candidate_metrics")
@@ -80,7 +92,7 @@ def evaluate_model(spark, folder):
     return _one_row(spark, fitted.name, plans.evaluate_model(fitted, bundle.part("test"), "doc_id"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {SPLIT} SELECT doc_id, true AS same FROM parted WHERE split = 'test'")
 def model_roundtrip(spark, folder):
     bundle, fitted = _fitted(spark, folder)
     path = scratch_path(spark, "model")
@@ -89,7 +101,7 @@ def model_roundtrip(spark, folder):
     test = bundle.part("test").select("doc_id", "text")
     first = fitted.score(test, "doc_id").select("doc_id", F.col("spam_probability").alias("before"))
     second = again.score(test, "doc_id").select("doc_id", F.col("spam_probability").alias("after"))
-    return first.join(second, "doc_id").select("doc_id", "before", "after", (F.abs(F.col("before") - F.col("after")) < 1e-12).alias("same"))
+    return first.join(second, "doc_id").select("doc_id", (F.abs(F.col("before") - F.col("after")) < 1e-12).alias("same"))
 
 
 @query("score_model")

@@ -89,7 +89,7 @@ def test_shuffled_labels_carry_nothing(spark):
     assert abs(roc_auc(scored).first()[0] - 0.5) < 0.2
 
 
-def test_head_on_embeddings(spark):
+def test_head_on_embeddings(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, int(i % 5 == 0), [rng.gauss(1.5 if i % 5 == 0 and d == 0 else 0.0, 1.0) for d in range(8)], f"t{i}") for i in range(500)]
     df = spark.createDataFrame(rows, "id long, label int, embedding array<float>, text string").withColumn("text_key", F.col("text"))
@@ -100,6 +100,11 @@ def test_head_on_embeddings(spark):
     split = stratified_split(df, ["id"]).withColumns({"source": F.lit("s"), "text_length": F.lit(2)})
     model = plans.train_and_evaluate(Corpus(split, dataset_summary(split)), CONFIG, "contextual", embedding="embedding")
     assert model.classifier.kind == models.EMBEDDING_HEAD and model.metadata["test_metrics"]["roc_auc"] > 0.75
+    model.save(str(tmp_path / "contextual"))
+    again = models.ScreeningModel.load(spark, str(tmp_path / "contextual"))
+    test = split.filter("split = 'test'")
+    scored = again.score(test, "text_key", signals=3).collect()
+    assert len(scored) == test.count() and all(r["top_signals"] == [] and 0 <= r["spam_probability"] <= 1 for r in scored)
     with pytest.raises(ValueError):
         plans.train_and_evaluate(Corpus(split, dataset_summary(split)), CONFIG, "contextual")
 
