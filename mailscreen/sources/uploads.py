@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailscreen.functions.text import LINE_BREAK, squeeze, strip
-from mailscreen.session import computed, join_summary
+from mailscreen.session import computed, join_summary, written
 
 # Names of a text column and of a JSON list, in order of preference.
 TEXT_COLUMNS = ("text", "email", "message", "content", "body")
@@ -106,70 +106,61 @@ def read_line_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def normalized_name(name: str) -> str:
-    return re.sub("[^a-z0-9]+", "", name.casefold())
-
-
-def choose_text_column(names: list[str]) -> int:
-    """Index of the text column among header cells; the first column if none is known."""
-    known: dict[str, int] = {}
-    for index, name in enumerate(names):
-        known[normalized_name(name or "")] = names.index(name) if name in names else index
-    for candidate in TEXT_COLUMNS:
-        if candidate in known:
-            return known[candidate]
-    return 0
-
-
-def looks_like_header(cells: list[str | None]) -> bool:
-    return bool({normalized_name(c) for c in cells if c and c.strip()} & set(TEXT_COLUMNS))
+def header_choice(cells: Column) -> Column:
+    """0-based place of the text column that a row of cells names; NULL if it names none."""
+    plain = F.transform(cells, lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", ""))
+    found = [F.array_position(plain, name) for name in TEXT_COLUMNS]
+    return F.coalesce(*[F.when(place > 0, place - 1) for place in found]).cast("int")
 
 
 def read_csv_batch(
     spark: SparkSession, path: str, header: bool | None = None, delimiter: str = ",", columns: int | None = None
 ) -> DataFrame:
-    """(file, row_number, text) from CSV files that share one layout.
+    """(file, row_number, text) from CSV files, each with a layout of its own.
 
-    `header=None` decides by the first row: it is a header when it names a text column.
-    Rows with too few cells for the text column give their first non-empty cell; so does
-    every row when there is no header.  If a header leaves no usable row, all rows are
-    read as texts, the header included.
+    Per file, `header=None` decides by its first row: it is a header when it names a text
+    column.  Rows with too few cells for the text column give their first non-empty cell;
+    so does every row of a file without a header.  If a header leaves a file without any
+    usable row, all its rows are read as texts, the header included.  `columns` says how
+    wide the widest file is where its first line does not show it.
     """
-    reader = spark.read.option("header", False).option("multiLine", True).option("escape", '"').option("sep", delimiter)
-    first = reader.option("nullValue", "\x01").csv(path).first()
-    if first is None:
-        return spark.createDataFrame([], "file string, row_number long, text string")
-    names = list(first)
-    width = columns or len(names)
+    first_lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    widths = first_lines.agg(F.first("value").alias("line")).filter("at = 0").select(F.size(F.split("line", re.escape(delimiter))).alias("n"))
+    width = max(columns or 1, widths.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
     cells = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_bad"]])
     raw = (
-        reader.schema(schema)
+        spark.read.option("header", False).option("multiLine", True).option("escape", '"').option("sep", delimiter)
+        .schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .csv(path)
         .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), *cells, "_bad")
     )
-    # A file with quoted line breaks is read by one task, so ids within it run on by one.
-    starts = raw.groupBy("file").agg(F.min("_at").alias("_first"))
-    rows = join_summary(raw, starts, ["file"]).withColumn("row_number", F.col("_at") - F.col("_first") + 1)
-
     # Python's csv reads a missing cell and an empty one differently; Spark does not, so
     # the cells of a short row are counted in its raw record.
     quoted = F.regexp_replace("_bad", '"(?:[^"]|"")*"', "q")
     found = F.when(F.col("_bad").isNull(), width).otherwise(F.size(F.split(quoted, re.escape(delimiter))))
     any_cell = F.coalesce(*[F.when(strip(c) != "", F.col(c)) for c in cells], F.lit(""))
+    row = raw.select("file", "_at", F.array(*cells).alias("_cells"), found.alias("_found"), any_cell.alias("_any"))
+    row = written(row, "csv-rows")
 
-    def texts(value: Column, source: DataFrame) -> DataFrame:
-        return source.select("file", "row_number", squeeze(F.coalesce(value, F.lit(""))).alias("text")).filter(F.col("text") != "")
-
-    if header or (header is None and looks_like_header(names)):
-        target = choose_text_column(names)
-        value = F.when(found > target, F.col(cells[target])).otherwise(any_cell)
-        chosen = texts(value, rows.filter(F.col("row_number") > 1))
-        if not chosen.isEmpty():
-            return chosen
-    return texts(any_cell, rows)
+    # A file with quoted line breaks is read by one task, so ids within it run on by one.
+    firsts = row.groupBy("file").agg(F.min(F.struct("_at", "_cells")).alias("f")).select("file", F.col("f._at").alias("_first"), header_choice(F.col("f._cells")).alias("_named"))
+    if header is None:
+        target = F.col("_named")
+    else:
+        target = F.coalesce("_named", F.lit(0)) if header else F.lit(None).cast("int")
+    layout = firsts.select("file", "_first", target.alias("_target"))
+    named = F.when(F.col("_found") > F.col("_target"), F.get("_cells", F.col("_target"))).otherwise(F.col("_any"))
+    rows = computed(
+        join_summary(row, layout, ["file"]).withColumn("row_number", F.col("_at") - F.col("_first") + 1),
+        _named_text=F.when(F.col("_target").isNotNull() & (F.col("row_number") > 1), squeeze(F.coalesce(named, F.lit("")))),
+        _any_text=squeeze("_any"),
+    )
+    usable = rows.groupBy("file").agg(F.max(F.coalesce(F.col("_named_text") != "", F.lit(False))).alias("_usable"))
+    text = F.when(F.col("_usable"), F.coalesce("_named_text", F.lit(""))).otherwise(F.col("_any_text"))
+    return join_summary(rows, usable, ["file"]).select("file", "row_number", text.alias("text")).filter(F.col("text") != "")
 
 
 def json_texts(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:

@@ -67,3 +67,11 @@ def test_export_survives_quotes_and_line_breaks(spark, texts, tmp_path):
     assert line == '"row","text","preview","label","confidence","spam_probability","ham_probability","top_signals"'
     assert {r["text"] for r in read_csv_batch(spark, path).collect()} >= {'say "hi", then go'}
     assert scoring.batch_summary(served, "file.csv").first().asDict() == {"total": 2, "spam": 0, "ham": 2, "source": "file.csv"}
+
+
+def test_warnings_name_blank_rows(texts):
+    from mailscreen.operators.batch import check_texts
+
+    summary = scoring.batch_summary(texts(["x"]).withColumn("label", F.lit("ham")), "f")
+    assert scoring.with_warnings(summary, check_texts(texts(["a", " ", None]))).first()["warnings"] == ["2 blank rows were left out."]
+    assert scoring.with_warnings(summary, check_texts(texts(["a"]))).first()["warnings"] == []

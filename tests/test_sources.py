@@ -144,10 +144,19 @@ def test_csv_options(spark, tmp_path):
     assert {r["text"] for r in uploads.read_csv_batch(spark, path, header=False, delimiter=";").collect()} == {"a", "1"}
 
 
-def test_text_column_choice():
-    assert uploads.choose_text_column(["ID", "Body", "e-mail"]) == 2
-    assert uploads.choose_text_column(["x", "y"]) == 0
-    assert uploads.looks_like_header(["a", "CONTENT "]) and not uploads.looks_like_header(["a", None])
+def test_text_column_choice(spark):
+    rows = [(["ID", "Body", "e-mail"],), (["x", "y"],), (["a", "CONTENT "],), (["a", None],)]
+    df = spark.createDataFrame(rows, "cells array<string>")
+    assert [r[0] for r in df.select(uploads.header_choice(F.col("cells"))).collect()] == [2, None, 1, None]
+
+
+def test_csv_layout_is_found_per_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,text\n1,first\n2,second\n")
+    write(tmp_path / "b.csv", "text,id\nthird,3\n")
+    write(tmp_path / "c.csv", "no header here\nfourth\n")
+    write(tmp_path / "d.csv", "text\n")
+    rows = {(r["file"][-5], r["row_number"], r["text"]) for r in uploads.read_csv_batch(spark, str(tmp_path)).collect()}
+    assert rows == {("a", 2, "first"), ("a", 3, "second"), ("b", 2, "third"), ("c", 1, "no header here"), ("c", 2, "fourth"), ("d", 1, "text")}
 
 
 def test_json_batch(spark, tmp_path):
