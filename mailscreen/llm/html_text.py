@@ -29,7 +29,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd

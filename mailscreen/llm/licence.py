@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -16,7 +16,7 @@ from mailscreen.llm.licence import scan_licences, train_licences
 from mailscreen.llm.near_dup import near_duplicates
 from mailscreen.llm.packing import pack_documents
 from mailscreen.llm.quality import judge_quality
-from mailscreen.llm.registry import ORACLES, QUERIES, query, table
+from mailscreen.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from mailscreen.llm.sharding import shard_documents
 from mailscreen.llm.url_filter import Rule, filter_urls, url_host
 
