@@ -46,8 +46,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = find_passages(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hit = written(found.select("doc_id").distinct(), "contaminated").withColumn("_hit", F.lit(True))
-    return join_summary(docs, hit, ["doc_id"], "left").where("_hit IS NULL").select(*docs.columns)
+    # Rows without an id are told apart from all others, so that they can be hit as well.
+    key = {"_id": F.coalesce("doc_id", F.lit(-1)), "_no_id": F.col("doc_id").isNull()}
+    hit = written(found.withColumns(key).select("_id", "_no_id").distinct(), "contaminated").withColumn("_hit", F.lit(True))
+    return join_summary(docs.withColumns(key), hit, ["_id", "_no_id"], "left").where("_hit IS NULL").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
