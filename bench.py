@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from mailscreen.registry import QUERIES
@@ -35,6 +36,9 @@ HEADLINE = (
     "source_kaggle_shape",
     "score_with_plugin",
     "train_embedding_head",
+    "feature_union_counts",
+    "batch_from_line_files",
+    "stream_score",
 )
 
 
@@ -42,7 +46,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
+    spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g", spark__ui__showConsoleProgress="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["label_totals"](spark, folder).collect()  # starts the JVM side
     seconds = {}
