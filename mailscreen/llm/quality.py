@@ -11,6 +11,12 @@ a text of fewer than `min_words` words is not judged by its histograms at all (i
 already), and the word histogram counts only from `min_common_words` words on, since
 a short text has too few words to show the usual share of common ones.
 
+A text without any common word is at a distance that the language's share of common words
+fixes alone (0.34 at a share of 0.21), so a fixed limit on the word distance finds texts with
+too much of a common word only.  Lack of common words is judged apart, as two bins (common,
+other): a text fails if it is over `max_common_lack` of the way to having none, and its
+shortfall is over `min_deviations` standard deviations of a sample of its length.
+
 All Column expressions; documents are shuffled nowhere, the references are small (classes
 and common words per language) and are joined back to the documents by broadcast.
 
@@ -42,6 +48,8 @@ class QualityLimits:
     max_word_distance: float = 0.4
     min_common_words: int = 50
     common_words: int = 20
+    max_common_lack: float = 0.5
+    min_deviations: float = 3.0
 
 
 def words_of(text: Column) -> Column:
@@ -133,6 +141,15 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)))
 
 
+def lacks_common(rest: Column, ref_rest: Column, n_words: Column, limits: QualityLimits) -> Column:
+    """Whether a text has too few common words; both arguments are shares of all other words."""
+    usual = 1 - ref_rest
+    here = js_distance(F.array(1 - rest, rest), F.array(usual, ref_rest))
+    none = js_distance(F.array(F.lit(0.0), F.lit(1.0)), F.array(usual, ref_rest))
+    shortfall = n_words * (rest - ref_rest)
+    return (here > none * limits.max_common_lack) & (shortfall > limits.min_deviations * F.sqrt(n_words * usual * ref_rest))
+
+
 def shares(counts: Column) -> Column:
     return _let(counts, lambda known: _let(_total(known), lambda t: F.transform(known, lambda c: c / F.greatest(t, F.lit(1)))))
 
@@ -201,9 +218,10 @@ def judge_quality(docs: DataFrame, limits: QualityLimits = QualityLimits(), text
         histograms,
         class_distance=js_distance(F.col("_classes"), F.col("class_ref")),
         word_distance=js_distance(F.col("_common"), F.col("word_ref")),
+        _lacking=lacks_common(F.element_at("_common", -1), F.element_at("word_ref", -1), F.col("n_words"), limits),
     )
     near = (F.col("class_distance") <= limits.max_class_distance) & (
-        (F.col("n_words") < limits.min_common_words) | (F.col("word_distance") <= limits.max_word_distance)
+        (F.col("n_words") < limits.min_common_words) | ((F.col("word_distance") <= limits.max_word_distance) & ~F.col("_lacking"))
     )
     verdict = F.when(F.col("base_failed"), False).otherwise(F.coalesce(near, F.lit(False)))
     return measured.withColumn("kept", verdict).select(*plain.columns, *results)

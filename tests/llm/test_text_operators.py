@@ -136,3 +136,20 @@ def test_quality_rules(spark):
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 63)) and not kept[63] and not kept[67]
     assert quality.judge_quality(df.limit(0)).count() == 0
+
+
+def test_texts_without_common_words_are_not_kept(spark):
+    rng = random.Random(3)
+    words = {"en": "the of and to in is that for it was".split(), "de": "der die und den von zu das mit sich auf".split()}
+    rare = [f"w{chr(97 + i)}{chr(97 + j)}o" for i in range(20) for j in range(20)]
+
+    def made(lang, n, share=0.21):
+        return " ".join(rng.choice(words[lang] if rng.random() < share else rare) for _ in range(n)).capitalize() + "."
+
+    clean = [(made(lang, rng.randint(50, 300)), lang) for lang in words for _ in range(150)]
+    salad = [(made("en", n, 0.0), lang) for lang in words for n in (50, 120, 900)]
+    foreign = [(made("de", 150), "en"), (made("en", 150), "de"), (made("de", 60), "en")]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(clean + salad + foreign)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(not kept[i] for i in range(len(clean))) <= 1
+    assert not any(kept[i] for i in range(len(clean), len(rows)))
