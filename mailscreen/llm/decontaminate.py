@@ -1,9 +1,11 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index, exact check.
 
 1. windows      A window is as long as the item it may hold.  A pair that passes step 4 has a
-                shingle in common, so windows are laid where a shingle of the document is one
-                of an item's, with the shingle at the same place in both; a window without
-                any shared shingle has similarity 0 with everything and needs no fingerprint.
+                shingle in common, at any place of either (sentences may be in another order),
+                so a window is laid at every start that lets it hold a shingle of an item of
+                its length.  What a window shares with an item weighs no more than all its
+                shingles that are some item's of that length, and must weigh `threshold` times
+                the item; windows short of that for the lightest such item cannot pass.
 2. fingerprint  64-bit SimHash over the window's words.
 3. multi-index  Item fingerprints are cut into 8 blocks of 8 bits.  Two fingerprints that
                 differ in at most `radius` (23) bits differ in at most 2 bits of some block,
@@ -117,21 +119,29 @@ def find_passages(docs: DataFrame, items: DataFrame, settings: MatchSettings = M
     # Rows are told apart by id and text; an accidental equality only adds windows to verify.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(doc_id, text).alias("_row"))
     worded = computed(rows, words=words_of(F.col("_t"))).select("_row", "words")
+    known = known.withColumn("_item", F.xxhash64("item_id", "words"))
     anchors = shingles = None
     # Items of fewer words than a shingle are looked for as runs of their own length.
     for run in [width, *sorted(short)]:
         own = known.where(F.col("size") >= width if run == width else F.col("size") == run)
-        own = own.select("size", F.posexplode(run_hashes(F.col("words"), run)).alias("at", "h"))
-        runs = worded.select("_row", F.posexplode(run_hashes(F.col("words"), run)).alias("pos", "h"))
+        own = own.select("_item", "size", run_hashes(F.col("words"), run).alias("runs"))
+        runs = worded.select("_row", F.size("words").alias("length"), F.posexplode(run_hashes(F.col("words"), run)).alias("pos", "h"))
         anchors, shingles = (own, runs) if anchors is None else (anchors.union(own), shingles.union(runs))
-    anchors = anchors.groupBy("h").agg(F.collect_set(F.struct("size", "at")).alias("places"))
-    hits = join_summary(shingles, anchors, ["h"]).select("_row", F.explode("places").alias("p"), "pos")
-    starts = hits.select("_row", F.struct(F.col("p.size").alias("size"), (F.col("pos") - F.col("p.at")).alias("start")).alias("window"))
-    places = written(starts.groupBy("_row").agg(F.collect_set("window").alias("windows")), "windows")
+    each = anchors.select("size", F.explode(F.array_distinct("runs")).alias("h"))
+    weights = written(each.groupBy("h").agg((1.0 / F.count("*")).alias("weight"), F.collect_set("size").alias("sizes")), "shingles")
+    placed = anchors.dropDuplicates(["_item"]).select("_item", "size", F.explode("runs").alias("h")).join(weights.select("h", "weight"), "h")
+    lightest = placed.groupBy("_item", "size").agg(F.sum("weight").alias("total")).groupBy("size").agg(F.min("total").alias("lightest"))
+    hits = join_summary(shingles, weights, ["h"]).select("_row", "length", "pos", "weight", F.explode("sizes").alias("size"))
+    # Every start inside the text that has the whole shingle in the window; a shorter text is one window.
+    first = F.greatest(F.lit(0), F.col("pos") + F.least(F.col("size"), F.lit(width)) - F.col("size"))
+    last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("length") - F.col("size")))
+    starts = hits.select("_row", "size", "weight", F.explode(F.sequence(first, last)).alias("start"))
+    summed = starts.groupBy("_row", "size", "start").agg(F.sum("weight").alias("shared"))
+    able = join_summary(summed, lightest, ["size"]).where(F.col("shared") >= settings.threshold * F.col("lightest") * (1 - 1e-6))
+    places = written(able.groupBy("_row").agg(F.collect_set(F.struct("size", "start")).alias("windows")), "windows")
     matched = join_summary(rows, places, ["_row"])
     cut = computed(matched, words=words_of(F.col("_t"))).select("doc_id", "words", F.explode("windows").alias("w"))
-    # A window that would begin before the text or end after it is moved inside.
-    start = F.greatest(F.lit(0), F.least(F.col("w.start"), F.size("words") - F.col("w.size")))
+    start = F.col("w.start")
     windows = cut.select("doc_id", "w.size", start.alias("start_word"), F.slice("words", start + 1, F.col("w.size")).alias("words")).distinct()
     printed = written(windows.withColumn("print", simhash(F.col("words"))), "fingerprints")
 

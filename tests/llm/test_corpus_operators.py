@@ -271,6 +271,21 @@ def test_passages_against_brute_force(spark):
     assert decontaminate.find_passages(df, none).count() == 0 and decontaminate.find_passages(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_reordered_passages_are_found(spark):
+    rng = random.Random(13)
+    items = [(n, " ".join(words_of(rng, n))) for n in (36, 44, 50)] + [(60, " ".join(words_of(rng, 44))), (61, "four words of it")]
+    docs = []
+    for i, text in items[:4]:
+        own, around = text.split(), words_of(rng, 120)
+        half = len(own) // 2
+        docs.append((i, " ".join(around[:60] + own[half:] + own[:half] + around[60:])))
+        docs.append((i + 100, " ".join(own[half:] + own[:half])))
+    docs += [(300, items[1][1].rsplit(" ", 4)[0]), (301, "so four words of it here")]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(brute_passages(docs, items))
+    assert all((i + k, i) in got for i in (36, 44, 50, 60) for k in (0, 100)) and (301, 61) in got
+
+
 def test_fingerprints_within_the_radius_are_found():
     masks = set(decontaminate.flips(23))
     rng = random.Random(12)
