@@ -16,6 +16,13 @@ one path are judged together:
               paths not ruled out are the main text, in page order.
 
 A path, not a block, is kept or dropped, so short paragraphs stay with long ones.
+
+Words in a class or id rule an element out where they are sure: outside `article`, and inside
+it if a whole class or role is a word that names a page part and nothing else (`advert`).
+Other words inside the article (`section id="legal-basis"`) only make an element suspect: it
+goes if over half of its characters are links, or if it has fewer than `sparse` times the
+punctuation marks per character of the article's other text.  Headings and paragraphs are
+text, whatever they are named.
 Everything happens within one page: one pass over the table, no shuffle.
 
 Edge cases: null or empty html gives an empty text; unclosed tags are closed as browsers
@@ -55,10 +62,17 @@ PART_WORDS = re.compile(
     r"|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager"
     r"|widgets?|skip|print|hidden|copyright|legal|disclaimer)(?![a-z])"
 )
+# Whole classes that name nothing but such a part, also inside an article.
+PART_CLASSES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsored promo promos promoted banner banners nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar sidebars masthead topbar toolbar comments commentlist disqus cookies consent gdpr popup popups modal overlay "
+    "newsletter subscribe signup login share sharing pagination pager widget widgets skip hidden".split()
+)
+NAMED_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 HOLDERS = frozenset(["html", "body", "article", "main"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -69,6 +83,7 @@ class Element:
     path: str
     out: bool
     parent: "Element | None"
+    suspect: bool = False
     score: float = 0.0
 
 
@@ -81,17 +96,21 @@ class Block:
 
 def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     """A new element; `out` if it, or one above it, is a part beside the article."""
-    part = ""
+    in_article = parent is not None and "/article" in parent.path
+    part, suspect = "", False
     if attributes:
-        words = " ".join("".join(m) for m in _MARKS.findall(attributes)).lower()
-        words = re.sub(r"[_\s]+", " ", words)
-        if words and tag not in HOLDERS and (found := PART_WORDS.search(words)):
-            part = found[1]
+        marks = [(m[0].lower(), re.sub(r"[_\s]+", " ", "".join(m[1:]).lower())) for m in _MARKS.findall(attributes)]
+        words = " ".join(value for _, value in marks)
+        if words and tag not in HOLDERS | NAMED_TEXT and (found := PART_WORDS.search(words)):
+            sure = [w for name, value in marks if name != "id" for w in value.split() if w in PART_CLASSES]
+            suspect = in_article and not sure
+            part = "" if suspect else sure[0] if in_article else found[1]
         elif _HIDDEN.search(attributes):
             part = "hidden"
-    in_article = parent is not None and "/article" in parent.path
+        if suspect and _HIDDEN.search(attributes):
+            part, suspect = "hidden", False
     out = tag in PART_TAGS or bool(part) or tag == "head" or (tag == "header" and not in_article) or (parent is not None and parent.out)
-    return Element(tag, f"{parent.path if parent else ''}/{tag}" + (f"@{part}" if part else ""), out, parent)
+    return Element(tag, f"{parent.path if parent else ''}/{tag}" + (f"@{part}" if part else ""), out, parent, suspect and not out)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -186,7 +205,35 @@ def _smoothed(values: list[float], spread: float) -> list[float]:
     return out
 
 
-def main_text(page: str | None, spread: float = 1.0, share: float = 0.8) -> str:
+def _suspects(element: Element) -> list[Element]:
+    """The suspect elements that a block lies in."""
+    found, e = [], element
+    while e is not None:
+        if e.suspect:
+            found.append(e)
+        e = e.parent
+    return found
+
+
+def _rule_out(blocks: list[Block], texts: list[str], sparse: float) -> None:
+    """Marks the blocks of suspect elements that are mostly links or hardly punctuated as out."""
+    sums: dict[int, list[int]] = {}
+    usual, inside = [0, 0, 0], []
+    for b, t in zip(blocks, texts):
+        above = _suspects(b.element)
+        inside.append(above)
+        if not b.element.out:
+            for total in [sums.setdefault(id(e), [0, 0, 0]) for e in above] or ([usual] if "/article" in b.element.path else []):
+                total[0] += len(t)
+                total[1] += b.link
+                total[2] += len(_PUNCTUATION.findall(t))
+    bad = {e for e, (size, link, marks) in sums.items() if 2 * link > size or marks * usual[0] < sparse * usual[2] * size}
+    for b, above in zip(blocks, inside):
+        if any(id(e) in bad for e in above):
+            b.element = Element(b.element.tag, b.element.path + "@part", True, b.element.parent)
+
+
+def main_text(page: str | None, spread: float = 1.0, share: float = 0.8, sparse: float = 0.25) -> str:
     """The article of one page.  `share` of the content score must lie below its element."""
     texts, blocks = [], []
     for b in blocks_of(page or ""):
@@ -196,6 +243,7 @@ def main_text(page: str | None, spread: float = 1.0, share: float = 0.8) -> str:
             texts.append(joined)
     if not blocks:
         return ""
+    _rule_out(blocks, texts, sparse)
     chars: dict[str, list[float]] = {}
     for b, t in zip(blocks, texts):
         ratio = chars.setdefault(b.element.path, [0, 0, 0])

@@ -64,6 +64,15 @@ def test_main_text():
     assert html_text.main_text("<p>" + "word, " * 50_000 + "</p>").count("word,") == 50_000
 
 
+def test_names_inside_the_article_do_not_drop_its_text():
+    prose = "It has a long text, with marks, so that it counts as prose. It goes on, and on."
+    parts = ['<h2 id="related-work">Related work</h2>', f"<p>{prose}</p>", f'<section id="legal-basis"><h2>Basis</h2><p>{prose}</p></section>', '<h3 id="print">Print</h3>', f'<p class="header-2">{prose}</p>', f'<div id="social-media"><h2 id="social-media-use">Social</h2><p>{prose}</p></div>']
+    beside = '<div class="related-posts"><ul><li><a href=a>Another post</a></li><li><a href=b>One more post</a></li></ul></div><div class="advert"><p>Buy now, it is cheap, really. Yes!</p></div>'
+    page = f"<html><body><div id='cookie-notice'>Cookies, please, accept.</div><article><h1>Title</h1>{''.join(parts)}{beside}</article><div class='sidebar'><p>{prose}</p></div></body></html>"
+    want = ["Title", "Related work", prose, "Basis", prose, "Print", prose, "Social", prose]
+    assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_extract_text(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_text(rows).collect()
