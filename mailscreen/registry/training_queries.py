@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailscreen.config import FitOptions, ScreeningConfig
+from mailscreen.config import ScreeningConfig
 from mailscreen.functions.probability import plugin_model_name
 from mailscreen.operators import metrics as ops
 from mailscreen.operators.sampling import stratified_split
@@ -20,8 +20,8 @@ from mailscreen.registry.base import query, table
 from mailscreen.registry.corpus_queries import SPLIT, split_mail
 from mailscreen.session import scratch_path, written
 
-# The optimizer stops after 50 steps here: to its default tolerance a fit of the small tables takes many minutes.
-CONFIG = ScreeningConfig(fit=FitOptions(max_iterations=50))
+# The product's defaults: the optimizer's tolerance ends a fit.
+CONFIG = ScreeningConfig()
 
 
 def corpus(spark, folder) -> Corpus:

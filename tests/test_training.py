@@ -113,3 +113,9 @@ def test_sigmoid_pulls_in_targets(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 1.0), (0, -1.0), (0, -2.0)], "label int, margin double")
     slope, _ = models.fit_sigmoid(df)
     assert 0 < slope < 5
+
+
+def test_training_queries_fit_to_the_tolerance():
+    from mailscreen.registry.training_queries import CONFIG as used
+
+    assert used == ScreeningConfig()
