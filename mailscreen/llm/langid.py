@@ -9,9 +9,11 @@ Rejection goes by distance: for every language the smallest cosine among (all bu
 outermost `outliers` share of) its training texts is noted, and a text further away than
 `slack` times that is `rejected`.  Its nearest language is reported all the same.
 
-Training reads at most `max_training` labelled texts, those with the smallest hash of the
-id (a uniform sample that does not depend on the layout), and their document frequencies;
-all texts are classified whole.  The model (dimensions x centroids) is of fixed size.
+Training reads all labelled texts of a language with up to `max_training` of them, and of
+others about so many (those whose hash lies under a cut-off: a uniform sample that does not
+depend on the layout), so a rare language is never lost to the common ones.  The counts lie
+in the shared folder; the driver holds one language's vectors at a time.  All texts are
+classified whole.  The model (dimensions x centroids) is of fixed size.
 
 Edge cases: a null text or one without letters is `und`, score 0, rejected; texts without a
 label are not trained on; with no training texts everything is `und`; ties between
@@ -31,15 +33,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailscreen.session import written
+
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LangSettings:
-    dimensions: int = 1 << 12
+    dimensions: int = 1 << 13
     centroids: int = 4
     rounds: int = 10
-    max_training: int = 3_000
+    max_training: int = 5_000
     outliers: float = 0.002
     slack: float = 0.75
 
@@ -127,29 +131,46 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def train_languages(labelled: DataFrame, settings: LangSettings = LangSettings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LangModel:
-    """A model from rows with a label; `max_training` of them at most."""
-    picked = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_h", F.xxhash64(doc_id))
-    picked = picked.orderBy("_h", doc_id, F.xxhash64(text)).limit(settings.max_training)
+    """A model from rows with a label; about `max_training` of a language at most."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("_h"))
+    totals = rows.groupBy("lang").count().collect()
+    spark = labelled.sparkSession
+    # A uniform hash is under the cut-off with probability max_training / rows of the language.
+    cuts = [(r["lang"], min((1 << 63) - 1, (1 << 64) * settings.max_training // r["count"] - (1 << 63))) for r in totals]
+    picked = rows.join(F.broadcast(spark.createDataFrame(cuts, "lang string, _cut long")), "lang").where("_h <= _cut")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(lang_, c) for lang_, t in zip(pdf["lang"], pdf["text"]) if (c := ngram_counts(t, settings.dimensions)) is not None]
-            yield pd.DataFrame({"lang": [r[0] for r in rows], "counts": [np.minimum(r[1], 65535).astype(np.uint16).tobytes() for r in rows]})
+            found = [(lang_, c) for lang_, t in zip(pdf["lang"], pdf["text"]) if (c := ngram_counts(t, settings.dimensions)) is not None]
+            yield pd.DataFrame({"lang": [r[0] for r in found], "counts": [np.minimum(r[1], 65535).astype(np.uint16).tobytes() for r in found]})
 
-    spread = picked.select(F.col(lang).alias("lang"), F.col(text).alias("text"), "_h").repartition("_h").drop("_h")
-    rows = sorted(spread.mapInPandas(counted, "lang string, counts binary").collect(), key=lambda r: (r["lang"], bytes(r["counts"])))
-    if not rows:
+    def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(settings.dimensions, dtype=np.int64), 0
+        for pdf in frames:
+            for c in pdf["counts"]:
+                total += np.frombuffer(c, dtype=np.uint16) > 0
+            n += len(pdf)
+        yield pd.DataFrame({"n": [n], "present": [total.tobytes()]})
+
+    stored = written(picked.select("lang", "text", "_h").repartition("_h").drop("_h").mapInPandas(counted, "lang string, counts binary"), "lang-counts")
+    sums = stored.select("counts").mapInPandas(frequencies, "n long, present binary").collect()
+    trained = sum(r["n"] for r in sums)
+    if not trained:
         return LangModel([], np.zeros((0, settings.dimensions)), np.ones(settings.dimensions), {})
-    counts = np.stack([np.frombuffer(r["counts"], dtype=np.uint16) for r in rows]).astype(np.float32)
-    weights = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    vectors = np.sqrt(counts) * weights
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    names = np.array([r["lang"] for r in rows])
+    present = sum(np.frombuffer(r["present"], dtype=np.int64) for r in sums)
+    weights = np.log((1 + trained) / (1 + present)).astype(np.float32) + 1
     languages, centres, least = [], [], {}
-    for name in sorted(set(names)):
-        own = vectors[names == name]
-        found = _clusters(own, settings.centroids, settings.rounds)
-        nearest = np.sort((own @ found.T).max(axis=1))
+    for name in sorted(r["lang"] for r in totals):
+        own = sorted(bytes(r["counts"]) for r in stored.where(F.col("lang") == name).select("counts").collect())
+        if not own:
+            continue
+        vectors = np.frombuffer(b"".join(own), dtype=np.uint16).reshape(len(own), -1).astype(np.float32)
+        del own
+        np.sqrt(vectors, out=vectors)
+        vectors *= weights
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        found = _clusters(vectors, settings.centroids, settings.rounds)
+        nearest = np.sort((vectors @ found.T).max(axis=1))
         least[name] = settings.slack * float(nearest[int(settings.outliers * len(nearest))])
         centres.append(found)
         languages += [name] * len(found)

@@ -134,6 +134,15 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"} and langid.identify(df.limit(0), model).count() == 0
 
 
+def test_rare_language_is_learnt(spark):
+    rng = random.Random(14)
+    texts = _languages(rng)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([r for r in texts if r[0] == "cc"][:2] + [r for r in texts if r[0] != "cc"] * 10)]
+    model = langid.train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.LangSettings(dimensions=1 << 10, max_training=20))
+    assert set(model.languages) == {"aa", "bb", "cc"}
+    assert all(model.classify(t)[0] == lang for lang, t in texts)
+
+
 def test_licences(spark):
     rng = random.Random(8)
     noise = [(i, "\n".join(" ".join(words_of(rng, 12)) for _ in range(4))) for i in range(80)]
