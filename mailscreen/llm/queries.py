@@ -5,11 +5,12 @@ A query is a thin layer: it runs its operator and derives the columns to compare
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.decontaminate import find_passages
+from mailscreen.llm.fill_middle import fill_in_middle, restored
 from mailscreen.llm.html_text import extract_text
 from mailscreen.llm.langid import held_out, identify, train_languages
 from mailscreen.llm.licence import scan_licences, train_licences
@@ -190,3 +191,37 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     attack = spark.createDataFrame([(-1, 0, "user", ATTACK), (-1, 1, "assistant", ATTACK)], turns.schema)
     return read_back(render_turns(turns.unionByName(attack)))
+
+
+def _sha256(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    WITH drawn AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+             regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+      FROM documents),
+    numbered AS (
+      SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+    cut AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbered),
+    pieces AS (
+      SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s FROM cut),
+    made AS (
+      SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END AS output
+      FROM pieces)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256
+    FROM made
+    """,
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    made = made.withColumn("restored", restored(F.col("output"), F.col("form")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256("output").alias("output_sha256"), _sha256("restored").alias("restored_sha256"))
