@@ -16,6 +16,7 @@ from mailscreen.llm.langid import held_out, identify, train_languages
 from mailscreen.llm.licence import scan_licences, train_licences
 from mailscreen.llm.near_dup import near_duplicates
 from mailscreen.llm.packing import pack_documents
+from mailscreen.llm.prefix_trie import prefix_trie, rebuilt_conversations
 from mailscreen.llm.quality import judge_quality
 from mailscreen.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from mailscreen.llm.sharding import shard_documents
@@ -193,6 +194,41 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(render_turns(turns.unionByName(attack)))
 
 
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, role, digest) AS path, list(words ORDER BY turn NULLS FIRST, role, digest) AS words,
+             xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+               lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+      FROM turns GROUP BY conv_id),
+    rebuilt AS (
+      SELECT c.conv_id, list_concat(coalesce(b.path[1:c.h], []), c.path[c.h + 1:]) AS path, list_concat(coalesce(b.words[1:c.h], []), c.words[c.h + 1:]) AS words
+      FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+    member AS (SELECT conv_id, path, words, depth, array_to_string(path[1:depth], ',') AS key FROM rebuilt, unnest(generate_series(0, len(path))) AS t(depth)),
+    node AS (
+      SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, first(path[1:depth]) AS path,
+             CASE WHEN depth > 0 THEN array_to_string(first(path[1:depth - 1]), ',') END AS above, coalesce(first(words[depth]), 0) AS words,
+             sha256(coalesce(string_agg(CASE WHEN len(path) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM member GROUP BY key, depth),
+    child AS (SELECT above AS key, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+    below AS (
+      SELECT array_to_string(path[1:d], ',') AS key, d AS depth, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE n IS NULL) AS leaves
+      FROM (SELECT node.*, child.n FROM node LEFT JOIN child USING (key, depth)), unnest(generate_series(0, depth)) AS t(d) GROUP BY ALL)
+    SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children, below.leaves AS n_leaves,
+           below.saved::BIGINT AS saved_tokens, node.ends_sha256
+    FROM node LEFT JOIN child USING (key, depth) JOIN below USING (key, depth) LEFT JOIN node up ON up.key = node.above AND up.depth = node.depth - 1
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(rebuilt_conversations(turns))
+
+
 def _sha256(text: str) -> Column:
     return F.sha2(F.col(text).cast("binary"), 256)
 
