@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailscreen.llm.chat import read_back, render_turns
 from mailscreen.llm.decontaminate import find_passages
 from mailscreen.llm.fill_middle import fill_in_middle, restored
+from mailscreen.llm.fingerprints import compare_with_edits
 from mailscreen.llm.html_text import extract_text
 from mailscreen.llm.langid import held_out, identify, train_languages
 from mailscreen.llm.licence import scan_licences, train_licences
@@ -194,6 +195,16 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(render_turns(turns.unionByName(attack)))
 
 
+def _sha256(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+@query("op11_fingerprints")
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = compare_with_edits(table(spark, folder, "documents").select("doc_id", "text"))
+    return compared.select("doc_id", "n_chars", _sha256("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query(
     "op12_prefix_trie",
     r"""
@@ -229,10 +240,6 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(rebuilt_conversations(turns))
 
 
-def _sha256(text: str) -> Column:
-    return F.sha2(F.col(text).cast("binary"), 256)
-
-
 @query(
     "op13_fill_in_middle",
     r"""
