@@ -39,12 +39,16 @@ class TermOptions:
 
 @dataclass(frozen=True)
 class FitOptions:
-    """Penalties, folds and the iteration limit of the linear models."""
+    """Penalties, folds and the iteration limit of the linear models.
+
+    A fit ends when its objective is proven to be within `tolerance` (relative) of the least.
+    """
 
     logistic_c: float = 4.0
     margin_c: float = 1.5
     folds: int = 3
     max_iterations: int = 4_000
+    tolerance: float = 1e-6
 
 
 @dataclass(frozen=True)

@@ -46,13 +46,15 @@ def _literal_hits(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
-def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str, ...] = STATISTICS) -> DataFrame:
+def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str, ...] = STATISTICS, clean: str | None = None) -> DataFrame:
     """`keep` columns plus the statistics of `text` (all, or those named), as doubles.
 
-    The first three describe the cleaned text, the other eight the text as given.
+    The first three describe the cleaned text, the other eight the text as given.  `clean`
+    names the column that holds the cleaned text, if there is one already.
     """
+    known = clean
     raw, clean = F.col("_raw"), F.col("_clean")
-    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_raw"), *([F.col(known).alias("_clean")] if known else []))
     on_clean = {
         "char_count": lambda: F.length(clean),
         "word_count": lambda: F.col("_words"),
@@ -70,6 +72,6 @@ def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str,
         "suspicious_keyword_hits": lambda: _hits(raw, KEYWORD_HIT),
     }
     if any(name in on_clean for name in only):
-        rows = computed(computed(rows, _clean=clean_text(raw)), _words=_hits(clean, f"[{WORD}]+"))
+        rows = computed(rows if known else computed(rows, _clean=clean_text(raw)), _words=_hits(clean, f"[{WORD}]+"))
     values = {**on_clean, **on_raw}
     return computed(rows, **{name: values[name]().cast("double") for name in only}).select(*keep, *only)

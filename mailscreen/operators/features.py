@@ -65,25 +65,26 @@ def index_features(features: list[DataFrame]) -> DataFrame:
     # The id's upper bits are the range, its lower 33 bits the place in the range.
     placed = written(names.orderBy("block", "feature").withColumn("_at", F.monotonically_increasing_id()), "names")
     placed = placed.select("feature", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    sizes = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
-    offset, before = F.lit(0), 0
-    for number in sorted(sizes):
-        offset = F.when(F.col("_range") == number, before).otherwise(offset)
-        before += sizes[number]
-    return written(placed.select("feature", (offset + F.col("_place")).cast("int").alias("index")), "index")
+    # One row a range: their number is that of the sort's partitions.
+    sizes = sorted((r["_range"], r["count"]) for r in placed.groupBy("_range").count().collect())
+    offsets, before = [], 0
+    for number, count in sizes:
+        offsets.append((number, before))
+        before += count
+    table = names.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    numbered = placed.join(F.broadcast(table), "_range").select("feature", (F.col("_before") + F.col("_place")).cast("int").alias("index"))
+    return written(numbered, "index")
 
 
 def statistic_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(STATS_PREFIX + name,) for name in STATISTICS], "feature string")
 
 
-def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size: int) -> DataFrame:
-    """(id, features) with `features` a sparse MLlib vector, for every id of the first block.
+def to_rows(blocks: list[DataFrame], id_column: str, index: DataFrame) -> DataFrame:
+    """(id, indices, values) for every id of the first block, indices ascending.
 
     Blocks are (id, feature, weight).  Each is gathered into one row per id and the rows
-    are joined; blocks that are partitioned by id already do not move.  Spark has no
-    expression that turns index and value arrays into a vector, but its JSON reader
-    accepts the vector type, which keeps the step inside the JVM.  `index` is
+    are joined; blocks that are partitioned by id already do not move.  `index` is
     broadcast if it is small enough.
     """
     entry = F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("w"))
@@ -95,12 +96,18 @@ def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size:
         gathered = block.join(index, "feature").groupBy(id_column).agg(F.collect_list(entry).alias(name))
         rows = gathered if rows is None else rows.join(gathered, id_column, "left")
     nothing = F.array().cast("array<struct<i:int,w:double>>")
-    rows = computed(rows, _e=F.sort_array(F.concat(*[F.coalesce(n, nothing) for n in names]))).select(id_column, "_e")
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).alias("size"),
-        F.col("_e.i").alias("indices"),
-        F.col("_e.w").alias("values"),
-    )
+    rows = computed(rows, _e=F.sort_array(F.concat(*[F.coalesce(n, nothing) for n in names])))
+    return rows.select(id_column, F.col("_e.i").alias("indices"), F.col("_e.w").alias("values"))
+
+
+def to_vectors(blocks: list[DataFrame], id_column: str, index: DataFrame, size: int) -> DataFrame:
+    """(id, features) with `features` a sparse MLlib vector, for use in MLlib pipelines.
+
+    Spark has no expression that turns index and value arrays into a vector, but its JSON
+    reader accepts the vector type, which keeps the step inside the JVM.  The library's own
+    fits take the arrays of `to_rows` as they are.
+    """
+    rows = to_rows(blocks, id_column, index)
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), "indices", "values")
     parsed = F.from_json(F.to_json(F.struct(vector.alias("features"))), VECTOR_ROW)
     return rows.select(id_column, parsed.getField("features").alias("features"))
