@@ -48,7 +48,7 @@ class FitOptions:
     margin_c: float = 1.5
     folds: int = 3
     max_iterations: int = 4_000
-    tolerance: float = 1e-6
+    tolerance: float = 1e-5
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ What an iterative fit finds has no SQL; ids, labels and what must hold of every
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from mailscreen.config import ScreeningConfig
@@ -42,42 +44,87 @@ def _one_row(spark, name, metrics):
     return spark.createDataFrame([(name, *values)], schema)
 
 
-_VALIDATION = f"WITH {SPLIT} SELECT doc_id, label, true AS probable, true AS consistent FROM parted WHERE split = 'validation'"
+# The fit is proven to be within the tolerance of the least objective, beats the objective of a
+# constant, and ranks the rows it was fitted on; a model that knows nothing fails all three.
+_FACTS = "true AS converged, true AS beats_constant, true AS ranks"
+_VALIDATION = f"WITH {SPLIT} SELECT doc_id, label, true AS probable, true AS consistent, {_FACTS} FROM parted WHERE split = 'validation'"
+
+
+def _facts(classifier, train):
+    """`converged`, `beats_constant`, `ranks` of a fit, as columns."""
+    told = [m.certificate for m in classifier.members]
+    converged = all(t["converged"] and t["gap"] <= CONFIG.fit.tolerance * t["objective"] for t in told)
+    # With balanced weights, the best constant margin is 0: every row loses ln 2, or 1.
+    c, loss = (CONFIG.fit.logistic_c, math.log(2.0)) if classifier.kind == models.LOGISTIC else (CONFIG.fit.margin_c, 1.0)
+    share = 1.0 if classifier.kind == models.LOGISTIC else 1.0 - 1.0 / CONFIG.fit.folds
+    beats = all(t["objective"] < 0.8 * c * loss * share * train.count() for t in told)
+    ranks = ops.roc_auc(classifier.score(train)).first()[0] > 0.95
+    return [F.lit(fact).alias(name) for name, fact in (("converged", converged), ("beats_constant", beats), ("ranks", ranks))]
 
 
-def _sound(scored):
-    """Every validation row, and whether its prediction is what its probability says."""
+def _sound(classifier, train, validation):
+    """Every validation row, whether its prediction is what its probability says, and the facts of the fit."""
     p = F.col("spam_probability")
-    return scored.select("doc_id", "label", p.between(0.0, 1.0).alias("probable"), (F.col("prediction") == (p > 0.5).cast("int")).alias("consistent"))
+    checks = p.between(0.0, 1.0).alias("probable"), (F.col("prediction") == (p > 0.5).cast("int")).alias("consistent")
+    return classifier.score(validation).select("doc_id", "label", *checks, *_facts(classifier, train))
 
 
 @query("train_logistic", _VALIDATION)
 def train_logistic(spark, folder):
     _, (train, validation) = _vectors(spark, folder, "train", "validation")
-    return _sound(models.fit_logistic_classifier(train, CONFIG).score(validation))
+    return _sound(models.fit_logistic_classifier(train, CONFIG), train, validation)
 
 
 @query("train_svc_calibrated", _VALIDATION)
 def train_svc_calibrated(spark, folder):
     _, (train, validation) = _vectors(spark, folder, "train", "validation")
-    return _sound(models.fit_calibrated_svc(train, "doc_id", CONFIG).score(validation))
+    return _sound(models.fit_calibrated_svc(train, "doc_id", CONFIG), train, validation)
+
+
+def _agree(metrics, rows, spam):
+    """Whether the metrics follow from their confusion matrix, over all the rows."""
+    (tn, fp), (fn, tp) = metrics["confusion_matrix"]
+    wanted = {"accuracy": (tp + tn, tp + tn + fp + fn), "precision": (tp, tp + fp), "recall": (tp, tp + fn), "f1_score": (2 * tp, 2 * tp + fp + fn)}
+    right = all(abs(metrics[k] - (a / b if b else 0.0)) < 1e-9 for k, (a, b) in wanted.items())
+    return right and tn + fp + fn + tp == rows and fn + tp == spam and 0.0 <= metrics["roc_auc"] <= 1.0 and metrics["log_loss"] > 0.0
+
 
+_CANDIDATES = "(VALUES ('logistic_regression'), ('calibrated_linear_svc')) AS c(model)"
 
-@query("candidate_metrics")
+
+@query(
+    "candidate_metrics",
+    f"""WITH {SPLIT}, seen AS (SELECT count(*) AS rows, sum(label)::BIGINT AS spam FROM parted WHERE split = 'validation')
+        SELECT model, rows, spam, true AS metrics_agree, true AS best_is_first_maximum FROM {_CANDIDATES}, seen""",
+)
 def candidate_metrics(spark, folder):
+    """Both candidates, what they were judged on, and whether the winner is the first with the best (accuracy, f1)."""
     _, (train, validation) = _vectors(spark, folder, "train", "validation")
-    _, _, results = plans.select_candidate(train, validation, plans.candidate_fits(CONFIG, "doc_id"))
-    rows = None
-    for name, metrics in results.items():
-        row = _one_row(spark, name, metrics)
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    best, _, results = plans.select_candidate(train, validation, plans.candidate_fits(CONFIG, "doc_id"))
+    rows, spam = validation.count(), validation.where("label = 1").count()
+    first = max(results, key=lambda name: (results[name]["accuracy"], results[name]["f1_score"]))
+    told = [(name, rows, spam, _agree(metrics, rows, spam), best == first) for name, metrics in results.items()]
+    return spark.createDataFrame(told, "model string, rows long, spam long, metrics_agree boolean, best_is_first_maximum boolean")
 
 
-@query("train_and_evaluate")
+@query(
+    "train_and_evaluate",
+    f"""WITH {SPLIT}, seen AS (SELECT split, count(*) AS rows, sum(label)::BIGINT AS spam FROM parted GROUP BY split)
+        SELECT t.rows AS test_rows, t.spam AS test_spam, v.rows AS validation_rows, true AS metrics_agree, true AS best_is_first_maximum, true AS refit_converged
+        FROM seen t, seen v WHERE t.split = 'test' AND v.split = 'validation'""",
+)
 def train_and_evaluate(spark, folder):
-    fitted = plans.train_and_evaluate(corpus(spark, folder), CONFIG, "baseline", "doc_id")
-    return _one_row(spark, fitted.name, fitted.metadata["test_metrics"])
+    """Select, refit on train and validation, judge on test: what the saved metadata says must hold together."""
+    bundle = corpus(spark, folder)
+    fitted = plans.train_and_evaluate(bundle, CONFIG, "baseline", "doc_id")
+    told = fitted.metadata
+    judged = told["validation_results"]
+    (test, spam), (rows, spam_seen) = ((bundle.part(s).count(), bundle.part(s).where("label = 1").count()) for s in ("test", "validation"))
+    agree = _agree(told["test_metrics"], test, spam) and all(_agree(m, rows, spam_seen) for m in judged.values())
+    first = max(judged, key=lambda name: (judged[name]["accuracy"], judged[name]["f1_score"]))
+    converged = all(m.certificate["converged"] for m in fitted.classifier.members)
+    schema = "test_rows long, test_spam long, validation_rows long, metrics_agree boolean, best_is_first_maximum boolean, refit_converged boolean"
+    return spark.createDataFrame([(test, spam, rows, agree, told["best_model"] == first and len(judged) == 2, converged)], schema)
 
 
 def _fitted(spark, folder):
