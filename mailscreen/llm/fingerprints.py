@@ -186,8 +186,10 @@ def compare_with_edits(docs: DataFrame, settings: FingerprintSettings = Fingerpr
     The next document is the one with the next smaller id; the last one's is the first.
     """
     signed = fingerprint_documents(docs.select(doc_id, text), settings, text)
-    paired = with_next(signed, [text, "fingerprint"], doc_id, text)
-    changed = paired.withColumn("edited", edited(F.col(text), F.col(f"next.{text}")))
+    # Moved as bytes, which is half of the digits.
+    paired = with_next(signed.withColumn("fingerprint", F.unhex("fingerprint")), [text, "fingerprint"], doc_id, text)
+    own, following = (F.lower(F.hex(c)).alias("fingerprint") for c in ("fingerprint", "next.fingerprint"))
+    changed = paired.select(doc_id, "n_chars", own, F.struct(following).alias("next"), edited(F.col(text), F.col(f"next.{text}")).alias("edited"))
     changed = changed.withColumn("edited_fingerprint", fingerprint(F.col("edited"), settings))
     return changed.select(
         doc_id,
