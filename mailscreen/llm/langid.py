@@ -11,9 +11,11 @@ outermost `outliers` share of) its training texts is noted, and a text further a
 
 Training reads all labelled texts of a language with up to `max_training` of them, and of
 others about so many (those whose hash lies under a cut-off: a uniform sample that does not
-depend on the layout), so a rare language is never lost to the common ones.  The counts lie
-in the shared folder; the driver holds one language's vectors at a time.  All texts are
-classified whole.  The model (dimensions x centroids) is of fixed size.
+depend on the layout), so a rare language is never lost to the common ones.  Their n-gram counts
+lie in the shared folder as sparse rows.  Document frequencies, every round of k-means (sums per
+language and centroid) and the cosines to note are computed in tasks over those rows and added
+up there; the driver holds the centroids, never a vector of a text but the first ones.  All
+texts are classified whole.  The model (dimensions x centroids) is of fixed size.
 
 Edge cases: a null text or one without letters is `und`, score 0, rejected; texts without a
 label are not trained on; with no training texts everything is `und`; ties between
@@ -30,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailscreen.session import written
@@ -117,17 +119,77 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return vector / norm if norm else vector
 
 
-def _clusters(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Spherical k-means; it starts from evenly spaced rows."""
-    centres = vectors[np.linspace(0, len(vectors) - 1, min(k, len(vectors))).astype(int)]
-    for _ in range(rounds):
-        nearest = np.argmax(vectors @ centres.T, axis=1)
-        moved = np.stack([vectors[nearest == i].sum(axis=0) if (nearest == i).any() else centres[i] for i in range(len(centres))])
-        moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres
+_SPARSE = "lang string, h long, places binary, counts binary"
+_CLUSTERS = "lang string, sums binary, sizes binary"
+
+
+def _unit_rows(places: list[bytes], counts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Stored sparse counts as dense unit TF-IDF vectors, one per row."""
+    vectors = np.zeros((len(places), len(weights)), dtype=np.float32)
+    for row, (p, c) in enumerate(zip(places, counts)):
+        vectors[row, np.frombuffer(p, dtype=np.int32)] = np.sqrt(np.frombuffer(c, dtype=np.int64))
+    vectors *= weights
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return vectors
+
+
+def _by_language(frames: Iterator[pd.DataFrame], weights: np.ndarray, piece: int = 512) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, unit vectors) for slices of the stored rows."""
+    for pdf in frames:
+        for lang, own in pdf.groupby("lang"):
+            for at in range(0, len(own), piece):
+                part = own.iloc[at : at + piece]
+                yield lang, _unit_rows(part["places"].tolist(), part["counts"].tolist(), weights)
+
+
+def _moved(stored: DataFrame, centres: dict[str, np.ndarray], weights: np.ndarray) -> dict[str, np.ndarray]:
+    """One round of spherical k-means in all languages: the sums are made and added up in tasks."""
+    shared = stored.sparkSession.sparkContext.broadcast((centres, weights))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, idf = shared.value
+        total: dict[str, list[np.ndarray]] = {}
+        for lang, vectors in _by_language(frames, idf):
+            nearest = np.argmax(vectors @ known[lang].T, axis=1)
+            member = np.zeros((len(known[lang]), len(vectors)), dtype=np.float32)
+            member[nearest, np.arange(len(vectors))] = 1.0
+            found = [(member @ vectors).astype(np.float64), member.sum(axis=1).astype(np.float64)]
+            total[lang] = [a + b for a, b in zip(total[lang], found)] if lang in total else found
+        for lang, (summed, sizes) in total.items():
+            yield pd.DataFrame({"lang": [lang], "sums": [summed.tobytes()], "sizes": [sizes.tobytes()]})
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, list[np.ndarray]] = {}
+        for pdf in frames:
+            for lang, *found in pdf.itertuples(index=False):
+                found = [np.frombuffer(f) for f in found]
+                total[lang] = [a + b for a, b in zip(total[lang], found)] if lang in total else found
+        for lang, (summed, sizes) in total.items():
+            yield pd.DataFrame({"lang": [lang], "sums": [summed.tobytes()], "sizes": [sizes.tobytes()]})
+
+    moved = {}
+    for row in stored.mapInPandas(sums, _CLUSTERS).repartition("lang").mapInPandas(added, _CLUSTERS).collect():
+        centre = centres[row["lang"]]
+        summed, sizes = np.frombuffer(row["sums"]).reshape(centre.shape), np.frombuffer(row["sizes"])
+        new = np.where(sizes[:, None] > 0, summed, centre)
+        moved[row["lang"]] = (new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    shared.unpersist()
+    return centres | moved
+
+
+def _least_cosines(stored: DataFrame, centres: dict[str, np.ndarray], weights: np.ndarray, outliers: float) -> dict[str, float]:
+    """For each language the smallest cosine of its texts, the outermost `outliers` share left out."""
+    shared = stored.sparkSession.sparkContext.broadcast((centres, weights))
+
+    def cosines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, idf = shared.value
+        for lang, vectors in _by_language(frames, idf):
+            yield pd.DataFrame({"lang": lang, "cosine": (vectors @ known[lang].T).max(axis=1).astype(float)})
+
+    # Settings bound a language's texts, so its cosines are a short list.
+    ordered = stored.mapInPandas(cosines, "lang string, cosine double").groupBy("lang").agg(F.sort_array(F.collect_list("cosine")).alias("c"))
+    place = F.floor(F.lit(outliers) * F.size("c")).cast("int")
+    return {r["lang"]: r["least"] for r in ordered.select("lang", F.get("c", place).alias("least")).collect()}
 
 
 def train_languages(labelled: DataFrame, settings: LangSettings = LangSettings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LangModel:
@@ -141,40 +203,45 @@ def train_languages(labelled: DataFrame, settings: LangSettings = LangSettings()
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [(lang_, c) for lang_, t in zip(pdf["lang"], pdf["text"]) if (c := ngram_counts(t, settings.dimensions)) is not None]
-            yield pd.DataFrame({"lang": [r[0] for r in found], "counts": [np.minimum(r[1], 65535).astype(np.uint16).tobytes() for r in found]})
+            found = []
+            for name, h, body in zip(pdf["lang"], pdf["_h"], pdf["text"]):
+                counts = ngram_counts(body, settings.dimensions)
+                if counts is not None:
+                    places = np.flatnonzero(counts)
+                    found.append((name, h, places.astype(np.int32).tobytes(), counts[places].astype(np.int64).tobytes()))
+            yield pd.DataFrame(found, columns=["lang", "h", "places", "counts"])
 
     def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(settings.dimensions, dtype=np.int64), 0
         for pdf in frames:
-            for c in pdf["counts"]:
-                total += np.frombuffer(c, dtype=np.uint16) > 0
+            for places in pdf["places"]:
+                total[np.frombuffer(places, dtype=np.int32)] += 1
             n += len(pdf)
         yield pd.DataFrame({"n": [n], "present": [total.tobytes()]})
 
-    stored = written(picked.select("lang", "text", "_h").repartition("_h").drop("_h").mapInPandas(counted, "lang string, counts binary"), "lang-counts")
-    sums = stored.select("counts").mapInPandas(frequencies, "n long, present binary").collect()
+    stored = written(picked.select("lang", "text", "_h").repartition("_h").mapInPandas(counted, _SPARSE), "lang-counts")
+    sums = stored.select("places").mapInPandas(frequencies, "n long, present binary").collect()
     trained = sum(r["n"] for r in sums)
     if not trained:
         return LangModel([], np.zeros((0, settings.dimensions)), np.ones(settings.dimensions), {})
     present = sum(np.frombuffer(r["present"], dtype=np.int64) for r in sums)
-    weights = np.log((1 + trained) / (1 + present)).astype(np.float32) + 1
-    languages, centres, least = [], [], {}
-    for name in sorted(r["lang"] for r in totals):
-        own = sorted(bytes(r["counts"]) for r in stored.where(F.col("lang") == name).select("counts").collect())
-        if not own:
-            continue
-        vectors = np.frombuffer(b"".join(own), dtype=np.uint16).reshape(len(own), -1).astype(np.float32)
-        del own
-        np.sqrt(vectors, out=vectors)
-        vectors *= weights
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        found = _clusters(vectors, settings.centroids, settings.rounds)
-        nearest = np.sort((vectors @ found.T).max(axis=1))
-        least[name] = settings.slack * float(nearest[int(settings.outliers * len(nearest))])
-        centres.append(found)
-        languages += [name] * len(found)
-    return LangModel(languages, np.concatenate(centres), weights, least)
+    weights = (np.log((1 + trained) / (1 + present)) + 1).astype(np.float32)
+    # The texts with the smallest hashes are a random choice to start from.
+    first = Window.partitionBy("lang").orderBy("h", "counts")
+    starts: dict[str, list] = {}
+    for row in stored.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= settings.centroids).orderBy("lang", "_n").collect():
+        starts.setdefault(row["lang"], []).append((row["places"], row["counts"]))
+    centres = {name: _unit_rows(*zip(*given), weights) for name, given in starts.items()}
+    for _ in range(settings.rounds):
+        moved = _moved(stored, centres, weights)
+        done = all(np.allclose(moved[name], centres[name], atol=1e-6) for name in centres)
+        centres = moved
+        if done:
+            break
+    least = _least_cosines(stored, centres, weights, settings.outliers)
+    names = sorted(centres)
+    languages = [name for name in names for _ in centres[name]]
+    return LangModel(languages, np.concatenate([centres[n] for n in names]), weights, {n: settings.slack * least[n] for n in names})
 
 
 def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
