@@ -28,6 +28,7 @@ component); other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,6 +119,17 @@ def estimate(samples: int, left: list[Column], right: list[Column]) -> Column:
     return F.when(inside > 0, 1 + F.lit(bits / (4 * samples)) * F.log(inside)).otherwise(0.0)
 
 
+def most_differing(samples: int, least: float) -> int:
+    """Bits in which two odd sketches may differ if their estimate is to be `least` or more."""
+    bits = 64 * SKETCH_WORDS
+    return int(bits / 2 * (1.0 - math.exp(-4.0 * samples / bits * (1.0 - least))))
+
+
+def overlaps(threshold: int, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+    """100 |A and B| >= threshold |A or B|, with the intersection (the costly part) computed once."""
+    return F.size(F.array_intersect(left, right)) * (100 + threshold) >= threshold * (left_size + right_size)
+
+
 class _Links:
     """Confirms candidate pairs among the classes."""
 
@@ -129,10 +141,10 @@ class _Links:
         return self.sketches.select(F.col("node").alias(node), *[F.col(n).alias(prefix + n) for n in ["n_shingles", *self.names]])
 
     def likely(self, prefix_a: str, prefix_b: str) -> Column:
-        columns = ([F.col(p + n) for n in self.names] for p in (prefix_a, prefix_b))
         sizes = [F.col(p + "n_shingles") for p in (prefix_a, prefix_b)]
         possible = F.least(*sizes) * 100 >= F.greatest(*sizes) * self.settings.threshold
-        return possible & (estimate(self.settings.samples, *columns) >= self.settings.min_estimate)
+        differ = sum((F.bit_count(F.col(prefix_a + n).bitwiseXOR(F.col(prefix_b + n))) for n in self.names), F.lit(0))
+        return possible & (differ <= most_differing(self.settings.samples, self.settings.min_estimate))
 
     def closest(self, pairs: DataFrame) -> DataFrame:
         """For each a the b whose sketch is most like its own, if that is enough."""
@@ -152,18 +164,17 @@ class _Links:
         carried = ["node", "component", "n_shingles", "shingles", *bands, *self.names]
         left, right = (fat.select("bucket", *[F.col(c).alias(p + c) for c in carried]) for p in ("a_", "b_"))
         first = F.coalesce(*[F.when(F.col("a_" + b) == F.col("b_" + b), F.col("a_" + b)) for b in bands])
-        both = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        alike = both * 100 >= self.settings.threshold * (F.col("a_n_shingles") + F.col("b_n_shingles") - both)
-        apart = (left["bucket"] == right["bucket"]) & (F.col("a_component") < F.col("b_component")) & (first == left["bucket"])
-        found = left.join(right, apart & self.likely("a_", "b_") & alike)
+        alike = overlaps(self.settings.threshold, F.col("a_shingles"), F.col("b_shingles"), F.col("a_n_shingles"), F.col("b_n_shingles"))
+        # From the cheapest test to the dearest; most pairs end at the sketches.
+        apart = (left["bucket"] == right["bucket"]) & (F.col("a_component") < F.col("b_component"))
+        found = left.join(right, apart & self.likely("a_", "b_") & (first == left["bucket"]) & alike)
         return written(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), "links")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        alike = both * 100 >= self.settings.threshold * (F.size("sa") + F.size("sb") - both)
+        alike = overlaps(self.settings.threshold, F.col("sa"), F.col("sb"), F.size("sa"), F.size("sb"))
         return written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
