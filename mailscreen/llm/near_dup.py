@@ -1,6 +1,6 @@
 """Near-duplicate documents: banded MinHash, odd sketches, exact confirmation.
 
-1. classes     Documents with one shingle set are one class; its smallest id stands for it.
+1. classes     Documents with one shingle set are one class, known by a hash of the set.
                Classes are formed by a grouped minimum, so copies collapse before the shuffle.
 2. bands       256 MinHash samples per class, of which 128 are cut into 32 bands of 4.  A pair
                of similarity 0.75 shares no band with a probability of 5e-6.
@@ -10,7 +10,7 @@
                `min_estimate` (3.5 standard errors under the threshold) end here, as do pairs
                whose set sizes alone rule the threshold out.
 4. confirm     100 |A and B| >= threshold |A or B| on the full shingle sets.
-5. components  Smallest reachable id over the confirmed links.
+5. components  Connected classes over the confirmed links, and the smallest id in each.
 
 A band's bucket can hold very many classes.  Its pairs are not written out: in each round a
 bucket has one pivot, and every member is confirmed against the closest of its pivots; what
@@ -21,9 +21,10 @@ inside a join that gives nothing but links, so no link which decides a component
 Shingles are 64-bit hashes of five words (A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`).
 
 Edge cases: a text without words is linked with nothing; one with fewer than five words has
-its whole sequence as its only shingle; repeated rows and ids are in one class; rows with a
-null id take part but never stand for a class (a class of such rows only has a null
-component); other columns are ignored; an empty table gives an empty result.
+its whole sequence as its only shingle; repeated rows are in one class; texts that differ are
+judged apart even if they share an id; rows with a null id take part, but an id is smaller than
+none (a component of such rows only has a null id); other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, settings: NearDupSettings, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, b0.., s0..): size, 128-bit hash of the set, bands, odd sketch."""
+    """(doc_id, text_hash, n_shingles, k1, k2, b0.., s0..): size, 128-bit hash of the set, bands, odd sketch."""
     names = [f"b{i}" for i in range(settings.bands)] + [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +92,10 @@ def signatures(docs: DataFrame, settings: NearDupSettings, doc_id: str, text: st
                 out[i, 3 : 3 + settings.bands] = mix(bands + np.arange(settings.bands, dtype=np.uint64))
                 out[i, 3 + settings.bands :] = odd_sketch(samples)
             columns = [pa.array(c) for c in np.ascontiguousarray(out.T).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_shingles", "k1", "k2", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "n_shingles", "k1", "k2", *names])
 
-    schema = ", ".join(f"{n} long" for n in ["doc_id", "n_shingles", "k1", "k2", *names])
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, schema)
+    schema = ", ".join(f"{n} long" for n in ["doc_id", "text_hash", "n_shingles", "k1", "k2", *names])
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInArrow(sign, schema)
 
 
 def shingles(docs: DataFrame, settings: NearDupSettings, doc_id: str, text: str) -> DataFrame:
@@ -179,31 +180,38 @@ class _Links:
 
 
 def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept), one row per row of `docs`."""
+    """(doc_id, n_shingles, text_hash, class_id, component_id, kept, stands), one row per row of `docs`.
+
+    `class_id` and `component_id` are the smallest ids in the row's class and component.  `stands`
+    marks the rows to keep where one text of each component is wanted: the one with the smallest
+    (id, hash of the text), ids before null; a text without words stands for itself.
+    """
     signed = written(signatures(docs, settings, doc_id, text), "signatures")
     carried = [f"b{i}" for i in range(settings.bands)] + [f"s{i}" for i in range(SKETCH_WORDS)]
-    classes = written(
-        signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in carried]),
-        "classes",
-    )
-    nodes = classes.where("node IS NOT NULL")
-    placed = nodes.select("node", F.explode(F.array(*[F.col(f"b{i}") for i in range(settings.bands)])).alias("bucket"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    # A class is known by its set, not by an id, since several texts may share one.
+    classes = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(row).alias("first"), *[F.first(c).alias(c) for c in carried])
+    classes = written(classes.withColumn("node", F.xxhash64("k1", "k2", "n_shingles")), "classes")
+    placed = classes.select("node", F.explode(F.array(*[F.col(f"b{i}") for i in range(settings.bands)])).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(placed.join(shared, "bucket"), "buckets")
-    held = written(members.select("node").distinct(), "members")
-    rows = docs.join(held, F.col(doc_id) == F.col("node"), "left_semi")
-    sets = written(shingles(rows, settings, doc_id, text).dropDuplicates(["node"]), "shingles")
-    confirm = _Links(nodes.select("node", "n_shingles", *carried), sets, settings)
+    held = written(classes.select("node", "first.*").join(members.select("node").distinct(), "node"), "members")
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    rows = given.join(held, given["doc_id"].eqNullSafe(held["doc_id"]) & (given["_hash"] == held["text_hash"])).select("node", "text")
+    sets = written(shingles(rows, settings, "node", "text").dropDuplicates(["node"]), "shingles")
+    confirm = _Links(classes.select("node", "n_shingles", *carried), sets, settings)
 
     links = _links(members, confirm, settings)
-    found = written(components(links), "components")
-    classed = classes.select("k1", "k2", F.col("n_shingles").alias("_n"), F.col("node").alias("class_id"))
-    same = (signed["k1"] == classed["k1"]) & (signed["k2"] == classed["k2"]) & (signed["n_shingles"] == classed["_n"])
-    told = signed.select("doc_id", "n_shingles", "k1", "k2").join(classed, same, "left").select("doc_id", "n_shingles", "class_id")
-    told = told.join(found, told["class_id"] == found["node"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "class_id"))
-    return told.withColumn("component_id", own).select(
-        "doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    found = components(links)
+    told = classes.select("k1", "k2", "n_shingles", "first", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = told.groupBy("component").agg(F.min("first").alias("top"))
+    told = written(told.join(tops, "component").select("k1", "k2", F.col("n_shingles").alias("_n"), F.col("first.doc_id").alias("class_id"), "top"), "components")
+    same = (signed["k1"] == told["k1"]) & (signed["k2"] == told["k2"]) & (signed["n_shingles"] == told["_n"])
+    judged = signed.select("doc_id", "n_shingles", "text_hash", "k1", "k2").join(told, same, "left").select("doc_id", "n_shingles", "text_hash", "class_id", "top")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    stands = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash")))
+    return judged.select(
+        "doc_id", "n_shingles", "text_hash", "class_id", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), stands.alias("stands")
     )
 
 
