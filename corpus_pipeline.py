@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm.decontaminate import find_passages
@@ -35,12 +35,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Rows with the same id as well as the same text are one document, of which one row stays;
-    a group without any id keeps one row.
+    The verdict is taken by id and text, so rows without an id and different texts under one id
+    are judged apart.  Rows with the same id as well as the same text are one document, of which
+    one row stays.
     """
-    keep = near_duplicates(docs).where("kept OR component_id IS NULL").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_no_id": F.col("doc_id").isNull(), "_same": F.xxhash64("text")})
-    return rows.join(keep, ["_id", "_no_id"], "left_semi").dropDuplicates(["_id", "_no_id", "_same"]).select(*docs.columns)
+    keep = near_duplicates(docs).where("stands").select(*_row_key(F.col("doc_id"), F.col("text_hash"))).distinct()
+    rows = docs.select("*", *_row_key(F.col("doc_id"), F.xxhash64("text")))
+    return rows.join(keep, ["_id", "_no_id", "_hash"], "left_semi").dropDuplicates(["_id", "_no_id", "_hash"]).select(*docs.columns)
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(-1)).alias("_id"), doc_id.isNull().alias("_no_id"), text_hash.alias("_hash")]
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
