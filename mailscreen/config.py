@@ -51,6 +51,21 @@ class FitOptions:
     tolerance: float = 1e-5
 
 
+@dataclass(frozen=True)
+class HeadOptions:
+    """Training of a head over epochs (`plans.head`)."""
+
+    epochs: int = 8
+    patience: int = 2  # epochs without a better score that are borne; below 0: all epochs are run
+    learning_rate: float = 0.05
+    weight_decay: float = 0.01
+    warmup: float = 0.1  # share of all steps
+    clip: float = 1.0
+    batch_rows: int = 32
+    block_rows: int = 8_192
+    seed: int = 42
+
+
 @dataclass(frozen=True)
 class ScreeningConfig:
     """What a training run needs to know."""
@@ -59,6 +74,7 @@ class ScreeningConfig:
     split: SplitFractions = SplitFractions()
     terms: TermOptions = TermOptions()
     fit: FitOptions = FitOptions()
+    head: HeadOptions = HeadOptions()
     signals_per_text: int = 8
 
     def as_dict(self) -> dict:

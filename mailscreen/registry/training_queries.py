@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mailscreen.config import ScreeningConfig
@@ -16,9 +17,11 @@ from mailscreen.operators.sampling import stratified_split
 from mailscreen.operators.scoring import prediction_columns, score_with_plugin
 from mailscreen.plans import model as models
 from mailscreen.plans import train as plans
+from mailscreen.plans.head import train_head
 from mailscreen.plans.prepare import Corpus
 from mailscreen.operators.corpus import dataset_summary
 from mailscreen.registry.base import query, table
+from mailscreen.registry.sql import split_ctes
 from mailscreen.registry.corpus_queries import SPLIT, split_mail
 from mailscreen.session import scratch_path, written
 
@@ -193,3 +196,26 @@ def train_embedding_head(spark, folder):
     head = plans.fit_embedding_head(split.filter("split = 'train'"), "embedding", CONFIG)
     scored = head.score(plans.with_vector(split.filter("split = 'test'"), "embedding"))
     return _one_row(spark, models.EMBEDDING_HEAD, ops.evaluate(written(scored.select("label", "prediction", "spam_probability"), "head")))
+
+
+@query(
+    "train_head_epochs",
+    f"""WITH emb AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings), {split_ctes('emb', 'vec_id')}
+        SELECT (SELECT count(*) FROM parted WHERE split = 'train') AS train_rows, (SELECT count(*) FROM parted WHERE split = 'validation') AS validation_rows,
+               true AS epochs_in_order, true AS best_is_first_maximum, true AS stops_for_patience_only, true AS resumed_is_same, true AS loss_falls""",
+)
+def train_head_epochs(spark, folder):
+    """The head over epochs, once in one go and once broken off after two of them."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))
+    split = written(stratified_split(rows, ["vec_id"]), "embedding-split")
+    train, validation = split.filter("split = 'train'"), split.filter("split = 'validation'")
+    whole = train_head(train, validation, "embedding", "vec_id", CONFIG)
+    path = scratch_path(spark, "epochs")
+    train_head(train, validation, "embedding", "vec_id", CONFIG, path, until=2)
+    resumed = train_head(train, validation, "embedding", "vec_id", CONFIG, path)
+    scores = [e.validation_f1 for e in whole.epochs]
+    first = scores.index(max(scores))
+    ended = len(scores) == CONFIG.head.epochs or len(scores) - 1 - first == CONFIG.head.patience + 1
+    same = len(whole.epochs) == len(resumed.epochs) and all(np.allclose(a.weights, b.weights, rtol=1e-9, atol=1e-12) for a, b in zip(whole.epochs, resumed.epochs))
+    told = (train.count(), validation.count(), [e.epoch for e in whole.epochs] == list(range(len(scores))), whole.best == first, ended, same, whole.epochs[-1].train_loss < whole.epochs[0].train_loss)
+    return spark.createDataFrame([told], "train_rows long, validation_rows long, epochs_in_order boolean, best_is_first_maximum boolean, stops_for_patience_only boolean, resumed_is_same boolean, loss_falls boolean")
