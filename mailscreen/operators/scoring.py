@@ -139,28 +139,63 @@ def signal_lists(signals: DataFrame, id_column: str) -> DataFrame:
     return signals.groupBy(id_column).agg(F.transform(ordered, lambda e: e.signal).alias("top_signals"))
 
 
+POOLS = ("mean", "max", "first")
+
+
+def token_windows(text: str, max_length: int | None, overlap: int = 0) -> list[str]:
+    """Pieces of at most `max_length` tokens (runs without white space) that overlap by `overlap`.
+
+    A text within the limit is one piece, as it is; the tokens of longer ones are joined by blanks.
+    """
+    tokens = text.split()
+    if max_length is None or len(tokens) <= max_length:
+        return [text]
+    return [" ".join(tokens[at : at + max_length]) for at in range(0, len(tokens) - overlap, max_length - overlap)]
+
+
 def score_with_plugin(
     df: DataFrame,
     make_predict: Callable[[], Callable[[list[str]], np.ndarray]],
     text: str = "text",
     batch_size: int = 16,
+    max_length: int | None = None,
+    overlap: int = 0,
+    pool: str = "mean",
 ) -> DataFrame:
     """Score with any batch model that gives two logits (ham, spam) per text.
 
     `make_predict` runs once per task and returns the model function; texts reach it in
-    lists of `batch_size`, whole: an input limit is the model's own business.  Softmax
-    and decision score are Column expressions.
+    lists of `batch_size`.  Without a `max_length` they are whole.  With one, a longer text
+    is cut into windows of that many tokens; windows of all rows of an Arrow batch are
+    batched by length, so short ones are not padded to long ones, and the logits of a
+    text's windows are pooled: their mean, those of the window that looks most like spam
+    (`max`), or those of the first window, which is what truncation gives (`first`).
+    Softmax and decision score are Column expressions.
     """
+    if pool not in POOLS:
+        raise ValueError(f"pool must be one of {POOLS}")
+    if max_length is not None and not 0 <= overlap < max_length:
+        raise ValueError("windows must be longer than their overlap")
     fields = [f for f in df.schema.fields if f.name not in ("_ham", "_spam")]
     schema = T.StructType([*fields, T.StructField("_ham", T.DoubleType()), T.StructField("_spam", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
         for frame in frames:
-            texts = frame[text].fillna("").tolist()
-            parts = [np.asarray(predict(texts[i : i + batch_size]), dtype=float) for i in range(0, len(texts), batch_size)]
-            logits = np.concatenate(parts) if parts else np.empty((0, 2))
-            yield frame.assign(_ham=logits[:, 0], _spam=logits[:, 1])
+            cut = [token_windows(t, max_length, overlap) for t in frame[text].fillna("")]
+            if pool == "first":
+                cut = [windows[:1] for windows in cut]
+            owner = np.repeat(np.arange(len(cut)), [len(windows) for windows in cut])
+            pieces = [piece for windows in cut for piece in windows]
+            if max_length is None:
+                order = np.arange(len(pieces))
+            else:
+                order = np.argsort([len(piece) for piece in pieces], kind="stable").astype(int)
+            logits = np.empty((len(pieces), 2))
+            for at in range(0, len(pieces), batch_size):
+                taken = order[at : at + batch_size]
+                logits[taken] = np.asarray(predict([pieces[i] for i in taken]), dtype=float)
+            yield frame.assign(**dict(zip(("_ham", "_spam"), _pooled(logits, owner, len(cut), pool).T)))
 
     scored = df.mapInPandas(run, schema)
     probabilities = stable_softmax(F.col("_ham"), F.col("_spam"))
@@ -169,3 +204,14 @@ def score_with_plugin(
         .withColumn("decision_score", logit_difference(F.col("_ham"), F.col("_spam")))
         .drop("_ham", "_spam")
     )
+
+
+def _pooled(logits: np.ndarray, owner: np.ndarray, rows: int, pool: str) -> np.ndarray:
+    """(rows, 2) from the logits of all windows; every row has one at least."""
+    if len(owner) == rows:
+        return logits
+    if pool == "mean":
+        return np.stack([np.bincount(owner, logits[:, k], minlength=rows) / np.bincount(owner, minlength=rows) for k in (0, 1)], axis=1)
+    # By row, then the largest difference first, then the window's place.
+    order = np.lexsort((np.arange(len(owner)), logits[:, 0] - logits[:, 1], owner))
+    return logits[order[np.searchsorted(owner[order], np.arange(rows))]]

@@ -14,14 +14,14 @@ from mailscreen.config import ScreeningConfig
 from mailscreen.functions.probability import plugin_model_name
 from mailscreen.operators import metrics as ops
 from mailscreen.operators.sampling import stratified_split
-from mailscreen.operators.scoring import prediction_columns, score_with_plugin
+from mailscreen.operators.scoring import POOLS, prediction_columns, score_with_plugin
 from mailscreen.plans import model as models
 from mailscreen.plans import train as plans
 from mailscreen.plans.head import train_head
 from mailscreen.plans.prepare import Corpus
 from mailscreen.operators.corpus import dataset_summary
 from mailscreen.registry.base import query, table
-from mailscreen.registry.sql import split_ctes
+from mailscreen.registry.sql import S, split_ctes
 from mailscreen.registry.corpus_queries import SPLIT, split_mail
 from mailscreen.session import scratch_path, written
 
@@ -189,6 +189,30 @@ def plugin(spark, folder):
     )
 
 
+_LETTERS = r"""1.0::DOUBLE + (length(t) - length(replace(t, ' ', ''))) / 100.0::DOUBLE AS h,
+          40.0::DOUBLE * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) / greatest(length(t), 1) AS s"""
+
+
+@query(
+    "score_with_plugin_windows",
+    f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{S}]+') AS k FROM documents),
+        piece AS (SELECT doc_id, i, t FROM (SELECT doc_id, CASE WHEN len(k) <= 256 THEN [text] ELSE list_transform(range(0, len(k) - 32, 224), lambda i: array_to_string(k[i + 1:i + 256], ' ')) END AS ts FROM w),
+                  unnest(ts) WITH ORDINALITY AS u(t, i)),
+        l AS (SELECT doc_id, i, {_LETTERS} FROM piece),
+        pooled AS (SELECT doc_id, count(*) AS windows, avg(s) - avg(h) AS mean_score, max(s - h) AS max_score, arg_min(s - h, i) AS first_score FROM l GROUP BY doc_id)
+        SELECT doc_id, round(mean_score, 6) AS mean_score, round(1 / (1 + exp(-mean_score)), 6) AS spam_probability, round(max_score, 6) AS max_score, round(first_score, 6) AS first_score
+        FROM pooled""",
+)
+def plugin_windows(spark, folder):
+    """Texts longer than the model takes, in windows of 256 tokens that overlap by 32; pooled in three ways."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = {pool: score_with_plugin(documents, letter_model, max_length=256, overlap=32, pool=pool) for pool in POOLS}
+    told = scored["mean"].select("doc_id", F.round("decision_score", 6).alias("mean_score"), F.round("spam_probability", 6).alias("spam_probability"))
+    for pool in ("max", "first"):
+        told = told.join(scored[pool].select("doc_id", F.round("decision_score", 6).alias(f"{pool}_score")), "doc_id")
+    return told
+
+
 @query("train_embedding_head")
 def train_embedding_head(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))

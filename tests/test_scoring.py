@@ -75,3 +75,39 @@ def test_warnings_name_blank_rows(texts):
     summary = scoring.batch_summary(texts(["x"]).withColumn("label", F.lit("ham")), "f")
     assert scoring.with_warnings(summary, check_texts(texts(["a", " ", None]))).first()["warnings"] == ["2 blank rows were left out."]
     assert scoring.with_warnings(summary, check_texts(texts(["a"]))).first()["warnings"] == []
+
+
+def test_windows_of_tokens():
+    from mailscreen.operators.scoring import token_windows
+
+    assert token_windows("a  b c", 3) == ["a  b c"] and token_windows("", 2) == [""] and token_windows("a b", None) == ["a b"]
+    words = [f"w{i}" for i in range(11)]
+    for length, overlap in ((4, 1), (4, 0), (3, 2), (10, 9)):
+        windows = [w.split() for w in token_windows(" ".join(words), length, overlap)]
+        assert all(len(w) <= length for w in windows) and windows[0] == words[:length] and windows[-1][-1] == words[-1]
+        assert all(a[-overlap:] == b[:overlap] for a, b in zip(windows, windows[1:]) if overlap and len(b) >= overlap)
+        assert [w for n, part in enumerate(windows) for w in (part if n == 0 else part[overlap:])] == words
+
+
+def test_pooled_windows(spark):
+    import numpy as np
+    import pytest
+
+    from mailscreen.operators.scoring import score_with_plugin
+
+    def model():
+        def predict(batch):
+            assert len(batch) <= 3 and all(len(t.split()) <= 4 for t in batch)
+            return np.array([[len(t.split()), 3.0 * t.count("x")] for t in batch], dtype=float).reshape(-1, 2)
+
+        return predict
+
+    texts = ["x a", "a b c d x x", "", None, "a b c d e f g x", "x x x x a a a a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("_ham", F.lit("clash"))
+    got = {pool: {r["id"]: r["decision_score"] for r in score_with_plugin(df, model, batch_size=3, max_length=4, pool=pool).collect()} for pool in ("mean", "max", "first")}
+    assert got["first"] == {0: 1.0, 1: -4.0, 2: 0.0, 3: 0.0, 4: -4.0, 5: 8.0}
+    assert got["max"] == {0: 1.0, 1: 4.0, 2: 0.0, 3: 0.0, 4: -1.0, 5: 8.0}
+    assert got["mean"] == pytest.approx({0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: -2.5, 5: 1.0})
+    for wrong in ({"pool": "median"}, {"max_length": 4, "overlap": 4}):
+        with pytest.raises(ValueError):
+            score_with_plugin(df, model, **wrong)
