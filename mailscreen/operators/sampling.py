@@ -81,14 +81,18 @@ def _label_pieces(df: DataFrame, order: Column, label: str, sizes) -> Column:
     found = {}
     if edges:
         in_edge = [(F.col(label) == name) & (F.col("_bucket") == bucket) for name, bucket in {(n, b) for (n, _), (b, _) in edges.items()}]
-        rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_h"))
+        # Rows of one hash are one entry with a count, however many share an id or have none.
+        entries = keyed.filter(reduce(or_, in_edge)).groupBy(label, "_bucket", "_h").agg(F.count("*").alias("_n"))
+        entries = entries.withColumn("_upto", F.sum("_n").over(Window.partitionBy(label, "_bucket").orderBy("_h")))
         at_edge = [
-            (F.col(label) == name) & (F.col("_bucket") == bucket) & (F.col("_rank") == place)
+            (F.col(label) == name) & (F.col("_bucket") == bucket) & (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
             for (name, _), (bucket, place) in edges.items()
         ]
-        rows = keyed.filter(reduce(or_, in_edge)).withColumn("_rank", rank).filter(reduce(or_, at_edge)).collect()
-        hashes = {(r[label], r["_bucket"], r["_rank"]): r["_h"] for r in rows}
-        found = {(name, end): hashes[name, bucket, place] for (name, end), (bucket, place) in edges.items()}
+        rows = entries.filter(reduce(or_, at_edge)).collect()
+        found = {
+            (name, end): next(r["_h"] for r in rows if r[label] == name and r["_bucket"] == bucket and r["_upto"] - r["_n"] < place <= r["_upto"])
+            for (name, end), (bucket, place) in edges.items()
+        }
 
     piece = F.lit(None).cast("int")
     for name, row in ends.items():
@@ -180,11 +184,13 @@ def sample_with_replacement(df: DataFrame, n: int, ids: list[str], seed: int = 4
     """Exactly `n` draws; adds `draw` (0-based).  A row may come up several times.
 
     Draw i takes the row at place r(i) of the hash order.  The bucket that holds a place
-    is looked up in the histogram's running totals; only rows of buckets in use are ranked.
+    is looked up in the histogram's running totals.  Inside it, places are told by running
+    counts over distinct rows, so rows that share an id, or are equal, are not ranked one by one.
     """
     spark: SparkSession = df.sparkSession
-    order = seeded_hash(seed, *ids)
-    keyed = df.withColumn("_h", order).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    # Ids first, then the whole row: what ties after that is equal in every column.
+    order = F.concat(seeded_hash(seed, *ids), F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0"))
+    keyed = written(df.withColumn("_h", order).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS)), "drawn-from")
     hist = sorted((r["_bucket"], r["n"]) for r in keyed.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for _, size in hist:
@@ -206,7 +212,14 @@ def sample_with_replacement(df: DataFrame, n: int, ids: list[str], seed: int = 4
         spark.createDataFrame([(float(i), b, s) for i, ((b, _), s) in enumerate(zip(hist, starts))], "_slot double, _bucket string, _start long")
     )
     placed = located.join(names, "_slot").select("draw", "_bucket", (F.col("_place") - F.col("_start") + 1).alias("_rank"))
-    used = F.broadcast(placed.select("_bucket").distinct())
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *ids))
-    ranked = keyed.join(used, "_bucket", "left_semi").withColumn("_rank", rank.cast("long"))
-    return placed.join(ranked, ["_bucket", "_rank"]).select("draw", *df.columns)
+    placed = written(placed, "places")
+    entries = join_summary(keyed.select("_bucket", "_h"), placed.select("_bucket").distinct(), ["_bucket"], "left_semi").groupBy("_bucket", "_h").agg(F.count("*").alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy("_bucket").orderBy("_h"))
+    starts = entries.withColumn("_rank", running - F.col("_n") + 1).select("_bucket", "_rank", F.lit(None).cast("long").alias("draw"), "_h")
+    # In order of places, each draw follows the entry that it falls into.
+    plain_unions(spark)
+    both = starts.unionByName(placed.withColumn("_h", F.lit(None).cast("string")))
+    last = Window.partitionBy("_bucket").orderBy("_rank", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("_h", F.last("_h", ignorenulls=True).over(last)).where("draw IS NOT NULL").select("draw", "_h")
+    rows = join_summary(keyed, told.select("_h").distinct(), ["_h"], "left_semi").dropDuplicates(["_h"])
+    return told.join(rows, "_h").select("draw", *df.columns)

@@ -1,14 +1,19 @@
 """Word and character TF-IDF in long form: (id, term, weight).
 
-The text is partitioned by document once.  Exploding, counting a document's terms and
-normalising its weights then all happen inside that partitioning; only the per-term
-totals are shuffled, after partial aggregation.
+Vocabularies are counted with the texts partitioned by document, so a document's terms are
+counted in place and only the per-term totals are shuffled, after partial aggregation.
+
+Weights are worked out row by row: the terms of a text travel to a task's sorted vocabulary as
+64-bit hashes, and counting, weighing and normalising need no other row, hence no shuffle, join
+or window.  Vocabularies beyond `MOST_BYTES` are joined instead.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +22,10 @@ from mailscreen.functions.text import WORD, clean_text
 from mailscreen.session import computed, parallelism, sized, written
 
 
+# What a vocabulary may take in each task: hash, IDF, number and name of every term.
+MOST_BYTES = 512 << 20
+
+
 def default_stop_words() -> list[str]:
     """Spark's English list; compared as written, so only lower-case tokens are dropped."""
     return sorted(StopWordsRemover.loadDefaultStopWords("english"))
@@ -66,6 +75,14 @@ def char_settings(max_features: int | None = None) -> TermSettings:
     return TermSettings("char_wb", max_features, min_df=2)
 
 
+def text_terms(clean: Column, settings: TermSettings, stop_words: list[str]) -> Column:
+    """All terms of a cleaned text as one array, in order and with repetitions."""
+    if settings.analyzer == "word":
+        return with_bigrams(word_tokens(clean, stop_words))
+    words = F.filter(F.split(clean, " "), lambda word: word != "")
+    return F.flatten(F.transform(words, lambda word: char_ngrams(word)))
+
+
 def term_counts(
     df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None, preprocess=clean_text
 ) -> DataFrame:
@@ -137,11 +154,65 @@ def weigh(counts: DataFrame, id_column: str, vocabulary: DataFrame) -> DataFrame
     return raw.select(id_column, "term", (F.col("_w") / length).alias("weight"))
 
 
+@dataclass(frozen=True)
+class TermTable:
+    """A block's vocabulary: sorted hashes, and IDF and feature number of each."""
+
+    hashes: np.ndarray
+    idf: np.ndarray
+    index: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, idf: np.ndarray, index: np.ndarray) -> "TermTable":
+        order = np.argsort(hashes, kind="stable")
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two terms of the vocabulary share a 64-bit hash")
+        return cls(hashes[order], idf[order], index[order].astype(np.int32))
+
+    def rows(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, weight) of a batch: (1 + ln tf) * idf, every row scaled to length 1."""
+        offsets = terms.offsets.to_numpy()
+        flat = terms.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        if not len(self.hashes) or not len(flat):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        row = np.repeat(np.arange(len(terms)), np.diff(offsets))
+        place = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
+        known = self.hashes[place] == flat
+        keys, counts = np.unique(row[known] * len(self.hashes) + place[known], return_counts=True)
+        row, place = keys // len(self.hashes), keys % len(self.hashes)
+        weight = (1.0 + np.log(counts)) * self.idf[place]
+        length = np.sqrt(np.bincount(row, weight * weight, minlength=len(terms)))
+        return row, self.index[place], weight / length[row]
+
+
+def weigh_rows(clean: DataFrame, id_column: str, vocabulary: DataFrame, settings: TermSettings, stop_words: list[str], most_bytes: int = MOST_BYTES) -> DataFrame | None:
+    """(id, term, weight) of texts from `cleaned`, row by row; None where the vocabulary is too large for that."""
+    if (vocabulary.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) > most_bytes:
+        return None
+    known = vocabulary.select(F.xxhash64("term"), "idf", "term").toArrow()
+    hashes, idf = (known.column(i).to_numpy() for i in range(2))
+    table = TermTable.of(hashes, idf, np.arange(len(idf)))
+    shared = clean.sparkSession.sparkContext.broadcast((table, known.column(2).combine_chunks()))
+
+    @F.arrow_udf("array<struct<term string, weight double>>")
+    def run(terms: pa.Array) -> pa.Array:
+        fitted, names = shared.value
+        row, place, weight = fitted.rows(terms)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(terms) + 1)).astype(np.int32))
+        entries = pa.StructArray.from_arrays([names.take(pa.array(place)), pa.array(weight)], ["term", "weight"])
+        return pa.ListArray.from_arrays(offsets, entries)
+
+    hashed = F.transform(text_terms(F.col("_clean"), settings, stop_words), lambda t: F.xxhash64(t))
+    return clean.select(id_column, F.inline(run(hashed)))
+
+
 def tfidf(
     df: DataFrame, id_column: str, text: str, settings: TermSettings, stop_words: list[str] | None = None, preprocess=clean_text
 ) -> DataFrame:
     """Fit the vocabulary on `df` and weigh the same rows.  Texts are cleaned once, and laid out by document."""
     clean = written(cleaned(df, id_column, text, preprocess), "clean")
-    counts = clean_term_counts(clean, id_column, settings, stop_words)
+    words = default_stop_words() if stop_words is None else stop_words
+    counts = clean_term_counts(clean, id_column, settings, words)
     vocabulary = fit_vocabulary(counts, clean.count(), settings)
-    return weigh(counts, id_column, vocabulary)
+    by_row = weigh_rows(clean, id_column, vocabulary, settings, words)
+    return weigh(counts, id_column, vocabulary) if by_row is None else by_row

@@ -129,3 +129,22 @@ def test_draws_from_few_rows(spark):
     df = spark.createDataFrame([(7,)], "id long")
     assert [r["id"] for r in ops.sample_with_replacement(df, 4, ["id"]).collect()] == [7] * 4
     assert ops.sample_with_replacement(df.limit(0), 4, ["id"]).count() == 0
+
+
+def test_rows_without_an_id_are_counted_not_ranked(spark):
+    rows = [(None, i % 2, f"t{i % 5}") for i in range(200)] + [(i, i % 2, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, text string")
+    split = ops.stratified_split(df, ["id"])
+    sides = {(r["label"], r["id"]): r["split"] for r in split.collect()}
+    assert split.count() == 240 and len(split.where("id IS NULL").select("label", "split").distinct().collect()) == 2
+    assert set(sides.values()) <= {"train", "validation", "test"}
+
+    drawn = ops.sample_with_replacement(df, 500, ["id"], seed=3)
+    got = [(r["draw"], r["id"], r["label"], r["text"]) for r in drawn.collect()]
+    assert sorted(g[0] for g in got) == list(range(500)) and set(g[1:] for g in got) <= set(rows)
+    # Equal rows stand for as many places as there are copies of them.
+    assert 0.6 < sum(g[1] is None for g in got) / 500 < 0.97
+    again = ops.sample_with_replacement(df.repartition(7), 500, ["id"], seed=3)
+    assert sorted(map(repr, ((r["draw"], r["id"], r["label"], r["text"]) for r in again.collect()))) == sorted(map(repr, got))
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
