@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm.graph import components
 from mailscreen.llm.words import mix, shingle_sets
-from mailscreen.session import written
+from mailscreen.session import sized, written
 
 SKETCH_WORDS = 16
 
@@ -179,6 +179,11 @@ class _Links:
         return written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    """64 bits that stand for a row's id and text."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text_hash)
+
+
 def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, text_hash, class_id, component_id, kept, stands), one row per row of `docs`.
 
@@ -195,9 +200,10 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     placed = classes.select("node", F.explode(F.array(*[F.col(f"b{i}") for i in range(settings.bands)])).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(placed.join(shared, "bucket"), "buckets")
-    held = written(classes.select("node", "first.*").join(members.select("node").distinct(), "node"), "members")
-    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    rows = given.join(held, given["doc_id"].eqNullSafe(held["doc_id"]) & (given["_hash"] == held["text_hash"])).select("node", "text")
+    # One row of each class gives its set; while their keys are small enough, no text is moved for that.
+    held = classes.select("node", _row_key(F.col("first.doc_id"), F.col("first.text_hash")).alias("_row")).join(members.select("node").distinct(), "node", "left_semi")
+    given = docs.select(_row_key(F.col(doc_id).cast("bigint"), F.xxhash64(text)).alias("_row"), F.col(text).alias("text"))
+    rows = given.join(sized(written(held, "members")), "_row").select("node", "text")
     sets = written(shingles(rows, settings, "node", "text").dropDuplicates(["node"]), "shingles")
     confirm = _Links(classes.select("node", "n_shingles", *carried), sets, settings)
 
