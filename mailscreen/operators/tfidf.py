@@ -3,9 +3,9 @@
 Vocabularies are counted with the texts partitioned by document, so a document's terms are
 counted in place and only the per-term totals are shuffled, after partial aggregation.
 
-Weights are worked out row by row: the terms of a text travel to a task's sorted vocabulary as
-64-bit hashes, and counting, weighing and normalising need no other row, hence no shuffle, join
-or window.  Vocabularies beyond `MOST_BYTES` are joined instead.
+Weights of character windows are worked out row by row: the terms of a text travel to a task's
+sorted vocabulary as 64-bit hashes, and counting, weighing and normalising need no other row,
+hence no shuffle, join or window.  Words, and vocabularies beyond `MOST_BYTES`, are joined.
 """
 
 from __future__ import annotations
@@ -214,5 +214,6 @@ def tfidf(
     words = default_stop_words() if stop_words is None else stop_words
     counts = clean_term_counts(clean, id_column, settings, words)
     vocabulary = fit_vocabulary(counts, clean.count(), settings)
-    by_row = weigh_rows(clean, id_column, vocabulary, settings, words)
+    # Words are few, and quickly counted again; character windows are many times the text.
+    by_row = weigh_rows(clean, id_column, vocabulary, settings, words) if settings.analyzer != "word" else None
     return weigh(counts, id_column, vocabulary) if by_row is None else by_row

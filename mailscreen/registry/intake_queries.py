@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.operators import batch
 from mailscreen.operators.benchmark import FOLDER_PREFIX
-from mailscreen.operators.scoring import batch_summary, prediction_columns, served_rows
+from mailscreen.operators.scoring import batch_summary, prediction_columns, served_rows, with_warnings
 from mailscreen.registry import sql
 from mailscreen.registry.base import labelled, query, rule_scores, scored_mail, table
 from mailscreen.registry.corpus_queries import MAIL_OUT, SPLIT, split_mail
@@ -110,6 +110,44 @@ def batch_from_csv(spark, folder):
     return uploads.read_csv_batch(spark, path).select("text")
 
 
+def _source():
+    return F.regexp_extract("file", "source=([^/]+)", 1).alias("source")
+
+
+@query(
+    "batch_line_file_rows",
+    f"""SELECT source, row_number, text FROM (SELECT source, {sql.squeeze('line')} AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS row_number FROM (
+          SELECT source, doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM documents)) WHERE text <> ''""",
+)
+def batch_line_file_rows(spark, folder):
+    """Every line of one file per source, with the number it has in its file."""
+    path = scratch_path(spark, "line-rows")
+    rows = table(spark, folder, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").mode("overwrite").text(path)
+    return uploads.read_line_files(spark, f"{path}/source=*").select(_source(), "row_number", "text")
+
+
+_HEADED = "source < 'src3'"
+
+
+@query(
+    "batch_csv_layouts",
+    f"""SELECT source, row_number, CASE WHEN text <> '' OR {_HEADED} THEN text ELSE lang END AS text FROM (
+          SELECT source, lang, {sql.squeeze('text')} AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) + CASE WHEN {_HEADED} THEN 1 ELSE 0 END AS row_number
+          FROM documents) WHERE text <> '' OR NOT ({_HEADED})""",
+)
+def batch_csv_layouts(spark, folder):
+    """One file per source; some name their text column in a header, the others give their first cell that is not empty."""
+    path = scratch_path(spark, "layouts")
+    rows = table(spark, folder, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
+    quoted = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    named = rows.where(_HEADED).select("source", "doc_id", F.col("text").alias("E-Mail"), "lang")
+    plain = rows.where(f"NOT ({_HEADED})").select("source", "text", "lang")
+    for name, part, header in (("named", named, True), ("plain", plain, False)):
+        part.write.options(header=header, **quoted).partitionBy("source").mode("overwrite").csv(f"{path}/{name}")
+    return uploads.read_csv_batch(spark, f"{path}/*/source=*").select(_source(), "row_number", "text")
+
+
 @query(
     "batch_from_json",
     f"""SELECT doc_id, row_number, text, 'ok' AS status FROM (SELECT doc_id, row_number, {sql.squeeze('line')} AS text FROM (
@@ -230,6 +268,20 @@ def summary_of_batch(spark, folder):
     return batch_summary(served(spark, folder), "documents")
 
 
+@query(
+    "batch_warnings",
+    f"""WITH lines AS (SELECT {sql.squeeze('line')} AS text FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+        scored AS (SELECT CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM (SELECT {sql.rule_probability('text')} AS p FROM lines WHERE text <> ''))
+        SELECT count(*) AS total, count(*) FILTER (prediction = 1) AS spam, count(*) FILTER (prediction = 0) AS ham, 'lines' AS source,
+          (SELECT CASE WHEN count(*) > 0 THEN count(*) || ' blank rows were left out.' ELSE '' END FROM lines WHERE text = '') AS warnings FROM scored""",
+)
+def batch_warnings(spark, folder):
+    lines = table(spark, folder, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    checked = batch.check_texts(lines)
+    scored = prediction_columns(rule_scores(batch.accepted(checked)))
+    return with_warnings(batch_summary(scored, "lines", "predicted_label"), checked).withColumn("warnings", F.array_join("warnings", "; "))
+
+
 @query(
     "batch_export",
     f"""WITH {sql.SCORED_UNROUNDED} SELECT doc_id::VARCHAR AS row, text, CASE WHEN length(text) > 140 THEN substring(text, 1, 139) || '...' ELSE text END AS preview,

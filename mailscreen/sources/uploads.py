@@ -80,30 +80,21 @@ def text_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def read_line_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_number, text): non-blank lines of text files of any size.
 
-    Files are read in splits.  Lines are numbered within a split (a split is never larger
-    than maxPartitionBytes); line counts of the splits before it are then added.
+    Files are read in splits, each by one task from its start to its end.  A running id
+    numbers the lines of a split where they are read; with the first id of each split and the
+    line counts of the splits before it, that gives the line's number.  No text is moved.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
-    located = raw.select(
+    lines = raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
-        F.split(F.regexp_replace("value", r"\r\z", ""), LINE_BREAK).alias("_lines"),
-    )
-    block = ["file", "_start"]
-    before_here = Window.partitionBy(*block).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = located.withColumn("_before", F.coalesce(F.sum(F.size("_lines")).over(before_here), F.lit(0)))
-    counts = located.groupBy(*block).agg(F.sum(F.size("_lines")).alias("_count"))
+        F.explode(F.split(F.regexp_replace("value", r"\r\z", ""), LINE_BREAK)).alias("_line"),
+    ).withColumn("_at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_count"))
     earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*block, F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
-    lines = join_summary(numbered, offsets, block).select(
-        "file", (F.col("_offset") + F.col("_before")).alias("_base"), F.posexplode("_lines").alias("_k", "_line")
-    )
-    return (
-        computed(lines, text=squeeze("_line"))
-        .filter(F.col("text") != "")
-        .select("file", (F.col("_base") + F.col("_k") + 1).cast("long").alias("row_number"), "text")
-    )
+    offsets = blocks.select("file", "_start", "_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = join_summary(lines, offsets, ["file", "_start"]).withColumn("row_number", F.col("_offset") + F.col("_at") - F.col("_first") + 1)
+    return computed(numbered, text=squeeze("_line")).filter(F.col("text") != "").select("file", "row_number", "text")
 
 
 def header_choice(cells: Column) -> Column:
@@ -139,7 +130,8 @@ def read_csv_batch(
     )
     # Python's csv reads a missing cell and an empty one differently; Spark does not, so
     # the cells of a short row are counted in its raw record.
-    quoted = F.regexp_replace("_bad", '"(?:[^"]|"")*"', "q")
+    # A doubled quote ends one piece and starts the next, which leaves the count as it is.
+    quoted = F.regexp_replace("_bad", '"[^"]*"', "q")
     found = F.when(F.col("_bad").isNull(), width).otherwise(F.size(F.split(quoted, re.escape(delimiter))))
     any_cell = F.coalesce(*[F.when(strip(c) != "", F.col(c)) for c in cells], F.lit(""))
     row = raw.select("file", "_at", F.array(*cells).alias("_cells"), found.alias("_found"), any_cell.alias("_any"))

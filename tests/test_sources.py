@@ -190,3 +190,11 @@ def test_columns_go_by_name_and_labels_may_be_floats(spark, tmp_path):
     write(tmp_path / "x.csv", b"text,message_id\nbody,m1\n")
     with pytest.raises(ValueError, match="label"):
         labelled_csv.read_enron(spark, str(tmp_path / "x.csv"))
+
+
+def test_long_quoted_cells_in_short_rows(spark, tmp_path):
+    long = "word " * 40_000
+    (tmp_path / "a.csv").write_text('id,text,x\n1,"' + long + 'with ""quotes"", and, commas",y\n')
+    (tmp_path / "b.csv").write_text('"' + long + '"\n\nplain,other\n')
+    got = [(r["file"][-5:], r["row_number"], len(r["text"])) for r in uploads.read_csv_batch(spark, str(tmp_path)).orderBy("file", "row_number").collect()]
+    assert got == [("a.csv", 2, len(long) + len('with "quotes", and, commas')), ("b.csv", 1, len(long.strip())), ("b.csv", got[2][1], 5)]
