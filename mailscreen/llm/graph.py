@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     while not _is_forest_of_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = written(handed.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -53,7 +53,7 @@ class NearDupSettings:
     rows: int = 4
     samples: int = 256
     min_estimate: float = 0.65
-    pivot_rounds: int = 3
+    pivot_rounds: int = 2
 
 
 def min_samples(hashes: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -207,8 +207,7 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     sets = written(shingles(rows, settings, "node", "text").dropDuplicates(["node"]), "shingles")
     confirm = _Links(classes.select("node", "n_shingles", *carried), sets, settings)
 
-    links = _links(members, confirm, settings)
-    found = components(links)
+    found = _components(members, confirm, settings)
     told = classes.select("k1", "k2", "n_shingles", "first", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = told.groupBy("component").agg(F.min("first").alias("top"))
     told = written(told.join(tops, "component").select("k1", "k2", F.col("n_shingles").alias("_n"), F.col("first.doc_id").alias("class_id"), "top"), "components")
@@ -221,17 +220,22 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     )
 
 
-def _links(members: DataFrame, confirm: _Links, settings: NearDupSettings) -> DataFrame:
-    """Confirmed links that join all classes that belong together."""
-    open_, links = members.withColumn("component", F.col("node")), None
+def _components(members: DataFrame, confirm: _Links, settings: NearDupSettings) -> DataFrame:
+    """(node, component) over confirmed links that join all classes that belong together."""
+    open_, links, found = members.withColumn("component", F.col("node")), None, None
     for number in range(settings.pivot_rounds):
         chosen = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("pivot"), F.col("component").alias("top")))
         pivots = open_.groupBy("bucket").agg(chosen.alias("p")).select("bucket", "p.pivot", "p.top")
         pairs = open_.join(pivots, "bucket").where("component <> top").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         new = confirm.confirmed(confirm.closest(pairs))
         links = new if links is None else written(links.union(new), "links")
-        open_ = _still_open(members, components(links))
-    return links.union(confirm.across(open_))
+        found = written(components(links), "components")
+        open_ = _still_open(members, found)
+    more = confirm.across(open_)
+    # Mostly the pivots have joined everything, and what is known stands.
+    if found is not None and more.isEmpty():
+        return found
+    return components(more if links is None else links.union(more))
 
 
 def _still_open(members: DataFrame, found: DataFrame) -> DataFrame:
