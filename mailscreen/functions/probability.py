@@ -68,6 +68,29 @@ def display_number(value: Column) -> Column:
     return F.when(~F.isnan(number), F.bround(number, 4))
 
 
+def plain_number(value: Column, digits: int = 4) -> Column:
+    """A number of up to `digits` decimals as text; Spark's own text of one below 0.001 has an exponent."""
+    small = F.regexp_replace(value.cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(value) < 0.001, small).otherwise(value.cast("string"))
+
+
+def scores_json(scores: Column) -> Column:
+    """struct<spam, ham> as JSON with plain numbers; a NULL one is left out."""
+    parts = [F.concat(F.lit(f'"{name}":'), plain_number(scores.getField(name))) for name in ("spam", "ham")]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def signals_json(signals: Column) -> Column:
+    """Top signals as JSON with plain numbers."""
+
+    def told(s: Column) -> Column:
+        opened = F.regexp_replace(F.to_json(F.struct(s.feature.alias("feature"))), r"\}$", ",")
+        closed = F.regexp_replace(F.to_json(F.struct(s.direction.alias("direction"))), r"^\{", ",")
+        return F.concat(opened, F.lit('"contribution":'), plain_number(s.contribution, 6), closed)
+
+    return F.when(signals.isNotNull(), F.concat(F.lit("["), F.concat_ws(",", F.transform(signals, told)), F.lit("]")))
+
+
 def display_feature(name: Column) -> Column:
     """Feature name without its block prefix."""
     for prefix in FEATURE_PREFIXES:

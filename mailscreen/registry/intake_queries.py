@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mailscreen.functions.probability import scores_json, signals_json
 from mailscreen.operators import batch
 from mailscreen.operators.benchmark import FOLDER_PREFIX
 from mailscreen.operators.scoring import batch_summary, prediction_columns, served_rows, with_warnings
@@ -257,7 +258,7 @@ def served(spark, folder):
           to_json({{'spam': round_even(p, 4), 'ham': round_even(1 - p, 4)}}) AS scores, '[]' AS top_signals FROM scored""",
 )
 def score_batch(spark, folder):
-    return served(spark, folder).withColumns({c: F.to_json(c) for c in ("scores", "top_signals")})
+    return served(spark, folder).withColumns({"scores": scores_json(F.col("scores")), "top_signals": signals_json(F.col("top_signals"))})
 
 
 @query(

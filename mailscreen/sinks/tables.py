@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailscreen.functions.probability import plain_number, signals_json
 from mailscreen.operators.corpus import MAIL_COLUMNS
 
 EXPORT_COLUMNS = ("row", "text", "preview", "label", "confidence", "spam_probability", "ham_probability", "top_signals")
@@ -39,11 +40,13 @@ def export_rows(served: DataFrame, row: str = "row_number") -> DataFrame:
     """Served rows in the download's columns, signals as JSON text."""
     values = (
         F.col(row), F.col("text"), F.col("text_preview"), F.col("label"), F.col("confidence"),
-        F.col("spam_probability"), F.col("ham_probability"), F.to_json("top_signals"),
+        F.col("spam_probability"), F.col("ham_probability"), signals_json(F.col("top_signals")),
     )
     return served.select(*[value.alias(name) for name, value in zip(EXPORT_COLUMNS, values)])
 
 
 def write_export(served: DataFrame, path: str, row: str = "row_number") -> None:
     """CSV with every cell quoted."""
-    _csv(export_rows(served, row).select(*[F.col(c).cast("string") for c in EXPORT_COLUMNS]), path, quote_all=True)
+    rows = export_rows(served, row)
+    cells = [plain_number(F.col(c)) if kind == "double" else F.col(c).cast("string") for c, kind in rows.dtypes]
+    _csv(rows.select(*[cell.alias(c) for c, cell in zip(EXPORT_COLUMNS, cells)]), path, quote_all=True)

@@ -111,3 +111,14 @@ def test_pooled_windows(spark):
     for wrong in ({"pool": "median"}, {"max_length": 4, "overlap": 4}):
         with pytest.raises(ValueError):
             score_with_plugin(df, model, **wrong)
+
+
+def test_small_numbers_are_written_without_an_exponent(spark, texts, tmp_path):
+    df = texts(["a", "b", "c"], spam_probability=[0.0009, 1.0, 0.25])
+    served = scoring.served_rows(scoring.prediction_columns(df, "m"), ["id"])
+    got = {r["id"]: r["s"] for r in served.select("id", prob.scores_json(F.col("scores")).alias("s")).collect()}
+    assert got == {0: '{"spam":0.0009,"ham":0.9991}', 1: '{"spam":1.0,"ham":0.0}', 2: '{"spam":0.25,"ham":0.75}'}
+    signals = F.array(F.struct(F.lit('say "x"').alias("feature"), F.lit(0.000012).alias("contribution"), F.lit("spam").alias("direction")))
+    assert spark.range(1).select(prob.signals_json(signals)).first()[0] == '[{"feature":"say \\"x\\"","contribution":0.000012,"direction":"spam"}]'
+    write_export(served, str(tmp_path / "export"), row="id")
+    assert "E-" not in "".join(r["value"] for r in spark.read.text(str(tmp_path / "export")).collect())
