@@ -92,6 +92,11 @@ def batch_from_lines(spark, folder):
     return uploads.text_lines(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def write_line_files(documents, path):
+    """Text files dealt by document; their number follows the session's partitions, so that none grows with the table."""
+    documents.repartition("doc_id").select("text").write.mode("overwrite").text(path)
+
+
 @query(
     "batch_from_line_files",
     f"""SELECT count(*) AS lines, sum(length(text))::BIGINT AS chars, count(DISTINCT text) AS texts FROM (SELECT {sql.squeeze('line')} AS text FROM (
@@ -99,7 +104,7 @@ def batch_from_lines(spark, folder):
 )
 def batch_from_line_files(spark, folder):
     path = scratch_path(spark, "lines")
-    table(spark, folder, "documents").repartition(4, "doc_id").select("text").write.mode("overwrite").text(path)
+    write_line_files(table(spark, folder, "documents"), path)
     rows = uploads.read_line_files(spark, path)
     return rows.agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.countDistinct("text").alias("texts"))
 

@@ -198,3 +198,21 @@ def test_long_quoted_cells_in_short_rows(spark, tmp_path):
     (tmp_path / "b.csv").write_text('"' + long + '"\n\nplain,other\n')
     got = [(r["file"][-5:], r["row_number"], len(r["text"])) for r in uploads.read_csv_batch(spark, str(tmp_path)).orderBy("file", "row_number").collect()]
     assert got == [("a.csv", 2, len(long) + len('with "quotes", and, commas')), ("b.csv", 1, len(long.strip())), ("b.csv", got[2][1], 5)]
+
+
+def test_line_files_follow_the_partitions(spark, tmp_path):
+    """A fixed number of files would have each task write and read a fixed share of any table."""
+    from mailscreen.registry.intake_queries import write_line_files
+
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), "id").alias("text"))
+    changed = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        write_line_files(rows, str(tmp_path / "lines"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = list((tmp_path / "lines").glob("part-*"))
+    assert len(files) == 9 and sum(len(f.read_text().splitlines()) for f in files) == 500
