@@ -140,6 +140,8 @@ def signal_lists(signals: DataFrame, id_column: str) -> DataFrame:
 
 
 POOLS = ("mean", "max", "first")
+# Characters whose windows a task holds at once (one text more, if it is longer).
+PORTION = 1 << 22
 
 
 def token_windows(text: str, max_length: int | None, overlap: int = 0) -> list[str]:
@@ -153,6 +155,18 @@ def token_windows(text: str, max_length: int | None, overlap: int = 0) -> list[s
     return [" ".join(tokens[at : at + max_length]) for at in range(0, len(tokens) - overlap, max_length - overlap)]
 
 
+def portions(lengths: np.ndarray, most: int = PORTION) -> Iterator[slice]:
+    """Rows in runs of at most `most` characters; a longer text is a run of its own."""
+    start = total = 0
+    for at, length in enumerate(lengths):
+        if at > start and total + length > most:
+            yield slice(start, at)
+            start, total = at, 0
+        total += length
+    if len(lengths) > start:
+        yield slice(start, len(lengths))
+
+
 def score_with_plugin(
     df: DataFrame,
     make_predict: Callable[[], Callable[[list[str]], np.ndarray]],
@@ -166,7 +180,7 @@ def score_with_plugin(
 
     `make_predict` runs once per task and returns the model function; texts reach it in
     lists of `batch_size`.  Without a `max_length` they are whole.  With one, a longer text
-    is cut into windows of that many tokens; windows of all rows of an Arrow batch are
+    is cut into windows of that many tokens; windows of all rows of a portion (`PORTION`) are
     batched by length, so short ones are not padded to long ones, and the logits of a
     text's windows are pooled: their mean, those of the window that looks most like spam
     (`max`), or those of the first window, which is what truncation gives (`first`).
@@ -181,7 +195,7 @@ def score_with_plugin(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
-        for frame in frames:
+        for frame in (whole.iloc[rows] for whole in frames for rows in portions(whole[text].str.len().fillna(0).astype(int).to_numpy())):
             cut = [token_windows(t, max_length, overlap) for t in frame[text].fillna("")]
             if pool == "first":
                 cut = [windows[:1] for windows in cut]

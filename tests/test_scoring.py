@@ -122,3 +122,18 @@ def test_small_numbers_are_written_without_an_exponent(spark, texts, tmp_path):
     assert spark.range(1).select(prob.signals_json(signals)).first()[0] == '[{"feature":"say \\"x\\"","contribution":0.000012,"direction":"spam"}]'
     write_export(served, str(tmp_path / "export"), row="id")
     assert "E-" not in "".join(r["value"] for r in spark.read.text(str(tmp_path / "export")).collect())
+
+
+def test_windows_are_held_by_portions(spark, monkeypatch):
+    assert [(p.start, p.stop) for p in scoring.portions(np.array([3, 3, 3, 20, 0, 1]), 6)] == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(scoring.portions(np.array([], dtype=int))) == []
+
+    def make():
+        def predict(batch):
+            return np.array([[float(len(batch)), len(t)] for t in batch])
+
+        return predict
+
+    df = spark.createDataFrame([(i, "a " * 9) for i in range(5)] + [(5, None)], "id long, text string").coalesce(1)
+    assert {r["_ham"] for r in scoring.score_with_plugin(df, make).select((F.col("decision_score") * 0).alias("_ham")).collect()} == {0.0}
+    assert scoring.score_with_plugin(df, make, max_length=2, overlap=1).count() == 6
