@@ -93,3 +93,25 @@ def test_vectors_keep_every_row(spark):
     got = {r["id"]: r["features"] for r in feat.to_vectors([weights.filter("feature <> 'b'").unionByName(spark.createDataFrame([(2, "zz", 1.0)], weights.schema)), weights.filter("feature = 'b'")], "id", index, 4).collect()}
     assert list(got[1].indices) == [0, 1] and list(got[1].values) == [0.5, -2.0]
     assert got[2].toArray().tolist() == [0.0, 0.0, 0.1234567890123456, 1.0]
+
+
+def test_windows_of_whole_chunks_are_those_of_the_words(texts):
+    """Windows cut from code points, for all texts at once, are those cut word by word, and so are their totals."""
+    import numpy as np
+    import pyarrow as pa
+
+    clean = ["a b  c", "", "é ñandú 😀😀😀 x", "long-word " * 40 + "x", " edge ", "same same"]
+    cut = tf.char_windows(clean)
+    got = Counter((int(r), t) for r, t in zip(cut.row, cut.terms(np.arange(len(cut.row)))))
+    want = Counter((i, t) for i, text in enumerate(clean) for t in char_terms(text))
+    assert got == want
+    names = sorted({t for _, t in want})
+    hashes = dict(zip(names, tf.hash_of(pa.array(names)).tolist()))
+    assert len(set(hashes.values())) == len(names)
+    assert all(hashes[t] == h for t, h in zip(cut.terms(np.arange(len(cut.row))), cut.hashes.tolist()))
+    assert [(first, len(some)) for first, some in tf.chunks(pa.array(clean), 12)] == [(0, 2), (2, 1), (3, 1), (4, 1), (5, 1)]
+    totals = {r["term"]: (r["df"], r["cf"]) for r in tf.char_frequencies(texts(clean).withColumnRenamed("text", "_clean").repartition(3)).collect()}
+    df, cf = Counter(t for _, t in want), Counter()
+    for (_, term), n in want.items():
+        cf[term] += n
+    assert totals == {t: (df[t], cf[t]) for t in cf}
