@@ -115,3 +115,44 @@ def test_windows_of_whole_chunks_are_those_of_the_words(texts):
     for (_, term), n in want.items():
         cf[term] += n
     assert totals == {t: (df[t], cf[t]) for t in cf}
+
+
+def test_words_are_counted_and_weighed_row_by_row(texts, spark):
+    """No text and no term of a text is shuffled or joined, and chunks cut through a batch give the same terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    stop = tf.default_stop_words()
+    given = texts(DOCS)
+    clean = tf.cleaned(given, "id", "text")
+    settings = tf.word_settings()
+    want = {r["term"]: (r["df"], r["cf"]) for r in tf.document_frequencies(tf.clean_term_counts(clean, "id", settings)).collect()}
+    counted = tf.frequencies(clean, "id", settings)
+    assert {r["term"]: (r["df"], r["cf"]) for r in counted.collect()} == want
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    vocabulary = tf.fit_vocabulary(counted, len(DOCS), settings)
+    weighed = tf.weights_of(clean, "id", vocabulary, settings, stop)
+    plan = weighed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+    joined = {(r["id"], r["term"]): r["weight"] for r in tf.weigh(tf.clean_term_counts(clean, "id", settings), "id", vocabulary).collect()}
+    assert {(r["id"], r["term"]): r["weight"] for r in weighed.collect()} == pytest.approx(joined, abs=1e-12)
+
+    lists = pa.array([["free", "the", "prize"], [], ["prize"], ["free", "prize", "free", "prize"], ["😀a", "ñ"]], pa.list_(pa.string())).slice(1)
+    for most in (1, 3, 100):
+        got = Counter()
+        for first, some in tf.token_chunks(lists, most):
+            cut = tf.words_of(some, ["the"])
+            names = cut.terms(np.arange(len(cut.row))).to_pylist()
+            assert tf.word_hash(pa.array(names, pa.string())).tolist() == cut.hashes.tolist()
+            got.update(zip((cut.row + first).tolist(), names))
+        assert got == Counter({(1, "prize"): 1, (2, "free"): 2, (2, "prize"): 2, (2, "free prize"): 2, (2, "prize free"): 1, (3, "😀a"): 1, (3, "ñ"): 1, (3, "😀a ñ"): 1})
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = spark.createDataFrame([(1, "free prize"), (1, "prize money"), (2, "prize free"), (None, "money"), (None, "free")], "id long, text string")
+    settings = tf.TermSettings("word", None, 1, 1.0)
+    clean = tf.cleaned(rows, "id", "text")
+    got = {r["term"]: (r["df"], r["cf"]) for r in tf.frequencies(clean, "id", settings).collect()}
+    assert got["prize"] == (2, 3) and got["free"] == (3, 3) and got["free prize"] == (1, 1)
+    weights = tf.tfidf(rows, "id", "text", settings)
+    assert weights.where("id = 1 AND term = 'prize'").count() == 1
