@@ -47,7 +47,7 @@ class FimSettings:
     prefix: str = "<P>"
     suffix: str = "<S>"
     middle: str = "<M>"
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 1 << 20  # the arrays made of a slice take nearly 20 times that
 
     @property
     def markers(self) -> tuple[str, str, str]:
@@ -129,6 +129,19 @@ def rearrange(texts: pa.Array, h: list[pa.Array], settings: FimSettings) -> list
     return [n, form.cast(pa.string()), *chars, output]
 
 
+def arranged(batches: Iterator[pa.RecordBatch], settings: FimSettings) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text, the four draws) as batches of the result, one per slice."""
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_string())
+        for at, rows in _slices(texts, settings.slice_bytes):
+            numbers = [batch.column(i).slice(at, rows) for i in range(2, 6)]
+            parts = rearrange(pa.concat_arrays([texts.slice(at, rows)]), numbers, settings)
+            # Spark's string columns have 32-bit offsets; a slice or one text fits them.
+            parts[-1] = parts[-1].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), *parts], names=names)
+
+
 def fill_in_middle(docs: DataFrame, settings: FimSettings = FimSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output), one row per row of `docs`.
 
@@ -137,15 +150,7 @@ def fill_in_middle(docs: DataFrame, settings: FimSettings = FimSettings(), doc_i
     h = draws(F.col(doc_id), settings.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_string())
-            for at, rows in _slices(texts, settings.slice_bytes):
-                numbers = [batch.column(i).slice(at, rows) for i in range(2, 6)]
-                parts = rearrange(pa.concat_arrays([texts.slice(at, rows)]), numbers, settings)
-                # Spark's string columns have 32-bit offsets; a slice or one text fits them.
-                parts[-1] = parts[-1].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), *parts], names=names)
+        return arranged(batches, settings)
 
     wanted = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[x.alias(f"h{i}") for i, x in enumerate(h)])
     return wanted.mapInArrow(run, _SCHEMA)

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mailscreen.llm.fill_middle import FimSettings, fill_in_middle, restored, units
+from mailscreen.llm.fill_middle import FimSettings, arranged, fill_in_middle, restored, units
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -62,3 +64,20 @@ def test_clashing_columns_and_empty_tables(spark):
 
 def test_units_of_an_array():
     assert units(pa.array(["a  b ", "", " "])).to_pylist() == [[b"a", b"  b", b" "], [b""], [b" "]]
+
+
+PEAK = """
+import pyarrow as pa
+from mailscreen.llm.fill_middle import FimSettings, arranged
+
+rows = 5_000
+ids = pa.array(range(rows))
+batch = pa.RecordBatch.from_arrays([ids, pa.array(["some words of a text\\n" * 150] * rows), *[ids] * 4], names=list("abcdef"))
+assert sum(made.num_rows for made in arranged(iter([batch]), FimSettings())) == rows
+print(pa.default_memory_pool().max_memory() - batch.nbytes)
+"""
+
+
+def test_a_batch_of_many_texts_takes_little_memory_besides_its_own():
+    # In a process of its own: the pool's peak is never set back.
+    assert int(subprocess.run([sys.executable, "-c", PEAK], capture_output=True, check=True, text=True).stdout) < 32 << 20
