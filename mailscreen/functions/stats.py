@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailscreen.functions.text import DIGIT, URL, WORD, clean_text
+from mailscreen.functions.text import DIGIT, URL, WORD, clean_text, only_with, url_hits
 from mailscreen.session import computed
 
 # The statistics in their output order.
@@ -42,6 +42,16 @@ def _characters(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, ""))
 
 
+def _spaced(text: Column) -> Column:
+    """The words of `text` with one blank between them.
+
+    Only what stands between words other than a single blank is searched for: far fewer
+    matches than there are words, and no array of the words is made.
+    """
+    blanks = F.regexp_replace(text, f"[^{WORD} ][^{WORD}]*", " ")
+    return F.trim(only_with(["  "], blanks, lambda t: F.regexp_replace(t, " {2,}", " "), lambda t: t))
+
+
 def _literal_hits(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
@@ -58,7 +68,7 @@ def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str,
     on_clean = {
         "char_count": lambda: F.length(clean),
         "word_count": lambda: F.col("_words"),
-        "avg_word_length": lambda: F.when(F.col("_words") > 0, _characters(clean, f"[^{WORD}]+") / F.col("_words")).otherwise(0.0),
+        "avg_word_length": lambda: F.when(F.col("_words") > 0, (F.length("_spaced") - F.col("_words") + 1) / F.col("_words")).otherwise(0.0),
     }
     length = F.greatest(F.length(raw), F.lit(1))
     on_raw = {
@@ -66,12 +76,15 @@ def with_email_stats(df: DataFrame, text: str, keep: list[str], only: tuple[str,
         "digit_ratio": lambda: _characters(raw, f"[^{DIGIT}]+") / length,
         "exclamation_count": lambda: _literal_hits(raw, "!"),
         "question_count": lambda: _literal_hits(raw, "?"),
-        "url_count": lambda: _hits(raw, URL),
+        "url_count": lambda: url_hits(raw),
         "currency_count": lambda: _hits(raw, CURRENCY),
         "html_tag_count": lambda: F.when(F.contains(raw, F.lit("<")), _hits(raw, HTML_LIKE)).otherwise(0),
         "suspicious_keyword_hits": lambda: _hits(raw, KEYWORD_HIT),
     }
     if any(name in on_clean for name in only):
-        rows = computed(rows if known else computed(rows, _clean=clean_text(raw)), _words=_hits(clean, f"[{WORD}]+"))
+        rows = rows if known else computed(rows, _clean=clean_text(raw))
+    if "word_count" in only or "avg_word_length" in only:
+        rows = computed(rows, _spaced=_spaced(clean))
+        rows = computed(rows, _words=F.when(F.col("_spaced") == "", 0).otherwise(_literal_hits(F.col("_spaced"), " ") + 1))
     values = {**on_clean, **on_raw}
     return computed(rows, **{name: values[name]().cast("double") for name in only}).select(*keep, *only)

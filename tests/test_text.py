@@ -73,6 +73,18 @@ def test_statistics_follow_python(texts):
         assert [row[s] for s in STATISTICS] == pytest.approx(want, abs=1e-12), values[row["id"]]
 
 
+def test_words_are_counted_without_arrays_of_them(texts):
+    """Also in a given text that is not squeezed: all blanks, other white space, marks beside blanks."""
+    values = EDGES + random_texts(500) + ["  two  words ", "a - b", "- a -", " ( a ) ", "\t\ta\n b", "   ", "-", "é-漢 😀x", "wWw.x http://y httpS://z wwwx ww.w"]
+    made = with_email_stats(texts(values), "text", ["id"], ("word_count", "avg_word_length", "url_count"), clean="text")
+    assert "regexp_extract_all(_clean" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for row in made.collect():
+        words = re.findall(r"\w+", values[row["id"]])
+        assert row["word_count"] == len(words), values[row["id"]]
+        assert row["avg_word_length"] == pytest.approx(sum(map(len, words)) / max(len(words), 1), abs=1e-12)
+        assert row["url_count"] == len(re.findall(r"https?://\S+|www\.\S+", values[row["id"]], re.I))
+
+
 def test_statistics_example(texts):
     row = with_email_stats(texts(["WIN money now!!! Click here for free credit."]), "text", ["id"]).first()
     assert row["exclamation_count"] == 3 and row["suspicious_keyword_hits"] >= 4 and row["uppercase_ratio"] > 0
