@@ -68,7 +68,7 @@ def append_scores(
     micro-batches only.  Blank rows are dropped; with a `max_length`, longer rows are written
     unscored, with their status.
     """
-    if isinstance(model.features, TextFeatures) and model.features.encoder() is None:
+    if isinstance(model.features, TextFeatures) and (model.features.encoder() is None or (signals and model.features.names() is None)):
         raise ValueError("the vocabulary is too large to score rows one by one; use score_stream")
     checked = check_texts(texts, text, max_length).filter(F.col("status") != BLANK)
     scored = model.score(checked, id_column, text, signals)
