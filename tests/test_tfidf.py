@@ -156,3 +156,28 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert got["prize"] == (2, 3) and got["free"] == (3, 3) and got["free prize"] == (1, 1)
     weights = tf.tfidf(rows, "id", "text", settings)
     assert weights.where("id = 1 AND term = 'prize'").count() == 1
+
+
+def test_one_sort_counts_texts_and_occurrences():
+    import numpy as np
+    import pyarrow as pa
+
+    words = [["spam", "ham", "spam", "spam", "ham"], [], ["ham"], ["eggs", "spam", "ham"], ["spam", "spam"]]
+    for cut in (tf.words_of(pa.array(words), ["eggs"]), tf.char_windows(["spam ham", "", "ham", "spam spam", "s"]), tf.words_of(pa.array([[]], pa.list_(pa.string())), [])):
+        names = list(cut.terms(np.arange(len(cut.hashes)))) if len(cut.hashes) else []
+        names = [n.as_py() if hasattr(n, "as_py") else n for n in names]
+        first, df, cf = tf.counted(cut)
+        got = {names[f]: (d, c) for f, d, c in zip(first.tolist(), df.tolist(), cf.tolist())}
+        want = {n: (len({r for r, m in zip(cut.row.tolist(), names) if m == n}), names.count(n)) for n in names}
+        assert got == want and all(names.index(names[f]) == f for f in first.tolist())
+
+
+def test_lookups_do_not_depend_on_the_order_of_the_terms():
+    import numpy as np
+
+    table = tf.TermTable.of(np.array([9, -4, 30, 7]), np.array([1.0, 2.0, 3.0, 4.0]), np.array([5, 6, 7, 8]))
+    row, flat = np.array([0, 0, 0, 0, 1, 1, 2]), np.array([30, -4, 30, 8, 99, 7, -5])
+    got = table.weighed(row, flat, 3)
+    raw = {6: 2.0, 7: (1 + np.log(2)) * 3.0}
+    size = np.sqrt(sum(v * v for v in raw.values()))
+    assert got[0].tolist() == [0, 0, 1] and got[1].tolist() == [6, 7, 8] and np.allclose(got[2], [raw[6] / size, raw[7] / size, 1.0])
